@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import consensus, language, mixing, terms, tokens, truncation, variants
+from plumbline.llm import consensus, language, matching, mixing, terms, tokens, truncation, variants
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": terms.p1_found,
         "p1_terms": terms.p1_terms,
         "p1_ngrams": terms.p1_ngrams,
+        "p2_found": matching.p2_found,
+        "p2_matches": matching.p2_matches,
         "p3_found": variants.p3_found,
         "p3_groups": variants.p3_groups,
         "p3_totals": variants.p3_totals,
