@@ -147,7 +147,7 @@ def phonetic(word: str) -> str:
             if i == 0:
                 out.append("a")
             continue
-        if not out or out[-1] != ch:
+        if i == 0 or plain[i - 1] != ch:
             out.append(ch)
     return "".join(out)
 
@@ -206,7 +206,7 @@ def opening(word: str, vowels: int = 2) -> str:
 
 def short_forms(core: tuple[str, ...]) -> list[str]:
     """Short forms people make of a name: the words' openings put together, and of three words or more the initials."""
-    if len(core) < 2:
+    if len(core) < 2 or any(w.isdigit() for w in core):
         return []
     forms = ["".join(opening(w) for w in core[:2])]
     if len(core) > 2:
@@ -224,21 +224,34 @@ def _near(a: str, b: str, most: int) -> float:
     return score if score >= 0.8 and edits(a, b) <= most else 0.0
 
 
+def _cut_near(x: str, y: str) -> bool:
+    """The shorter word is the misspelt beginning of the longer one."""
+    short, long = sorted((x, y), key=len)
+    return edits(short, long[: len(short)]) == 1 and short.isalpha()
+
+
+DIGITS = regex.compile(r"\D+")
+
+
 def similarity(a: tuple[str, ...], b: tuple[str, ...], most: int = 2) -> float:
     """How alike two proper names are (0 to 1): word by word in the better order, or all in one word; 0 where they differ.
 
     A word of three or four letters counts as the beginning of a longer one.
     """
     best = 0.0
+    if DIGITS.sub("", " ".join(sorted(a))) != DIGITS.sub("", " ".join(sorted(b))):
+        return 0.0  # numbers are never misspelt
     if len(a) == len(b):
         for other in (b, b[::-1]) if len(b) > 1 else (b,):
             scores = []
             for x, y in zip(a, other, strict=True):
                 if x != y and min(len(x), len(y)) <= 4 and (x.startswith(y) or y.startswith(x)) and len(a) > 1:
                     scores.append(0.9)
+                elif x[0] == y[0] and min(len(x), len(y)) in (3, 4) and abs(len(x) - len(y)) > 1 and _cut_near(x, y):
+                    scores.append(0.89)
                 else:
                     scores.append(_near(x, y, most))
-            if min(scores) > 0 and not all(s == 0.9 for s in scores):
+            if min(scores) > 0 and max(scores) > 0.9 and (0.89 not in scores or max(scores) == 1):
                 best = max(best, sum(scores) / len(scores))
     if best < 1 and (len(a) != len(b) or best == 0):
         joined = "".join(a)
@@ -250,20 +263,25 @@ def similarity(a: tuple[str, ...], b: tuple[str, ...], most: int = 2) -> float:
 
 
 def blocking_keys(core: tuple[str, ...]) -> list[str]:
-    """Keys of which two spellings of a name share one: phonetic codes of its sorted words, each also with one sound left out, the codes of the joined words, and one word's code with the other's initial."""
+    """Keys of which two spellings of a name share one: phonetic codes of its sorted words with their initials, each also with a sound left out, the codes of the joined words, and one word's code with the other's first two, or first and last, letters; of a name with numbers, its codes with them."""
+    numbers = sorted(w for w in core if w.isdigit())
+    if numbers:  # numbers are never misspelt: names that share words but not numbers share no block
+        return ["n" + ".".join([*sorted(phonetic(w) for w in core if not w.isdigit()), *numbers])]
     joined = phonetic("".join(core))
     keys = {f"j{joined}", "j" + phonetic("".join(reversed(core)))}
     if len(core) == 1:
         code = phonetic(core[0])
-        keys |= {f"j{code[:i]}{code[i + 1:]}" for i in range(len(code))} if len(code) > 3 else set()
+        keys |= {f"j{core[0][0]}.{code[:i]}{code[i + 1:]}" for i in range(len(code))} if len(code) > 3 else set()
         return sorted(keys)
-    keys |= {f"j{joined[:i]}{joined[i + 1:]}" for i in range(len(joined))} if len(joined) > 4 else set()
+    for first, code in ((core[0][0], joined), (core[-1][0], phonetic("".join(reversed(core))))):
+        keys |= {f"j{first}.{code[:i]}{code[i + 1:]}" for i in range(len(code))} if len(code) > 4 else set()
     codes = [phonetic(w) for w in core[:3]]
     for i, word in enumerate(core[:3]):
         for j, other in enumerate(core[:3]):
             if i != j:
-                keys.add(f"w{codes[i]}.{other[0]}")
+                keys |= {f"w{word[0]}{codes[i]}.{other[:2]}", f"w{word[0]}{codes[i]}.{other[0]}-{other[-1]}"}
     if len(core) == 2:
-        variants = [[c, *(c[:i] + c[i + 1 :] for i in range(len(c)) if len(c) > 1)] for c in codes]
-        keys |= {"s" + ".".join(sorted((x, y))) for x in variants[0] for y in variants[1]}
+        marked = [w[0] + c for w, c in zip(core, codes, strict=True)]
+        cuts = [[m, *(m[:i] + m[i + 1 :] for i in range(1, len(m)))] for m in marked]
+        keys |= {"s" + ".".join(sorted((x, y))) for x in cuts[0] for y in cuts[1]}
     return sorted(keys)
