@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
 from plumbline.operators import nested_records
-
-Builder = Callable[[SparkSession, str], DataFrame]
+from plumbline.plans import companies, labels  # noqa: F401  (they register their queries)
+from plumbline.plans.base import QUERIES, SQL, Builder
 
 
 def queries() -> dict[str, Builder]:
     out: dict[str, Builder] = {"p5_found": nested_records.p5_found, "p5_shapes": nested_records.p5_shapes}
     for kind in ("experience", "position", "project", "education", "certification"):
         out[f"p5_{kind}"] = nested_records.p5_table(kind)
-    return out
+    return out | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
