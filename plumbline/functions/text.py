@@ -39,12 +39,13 @@ def tokens(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
 
 def ngrams(words: Column, sizes: list[int]) -> Column:
     """All n-grams of the given sizes, joined by blanks."""
-    out = []
-    for n in sizes:
-        at = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        made = F.transform(at, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        out.append(F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>")))
-    return F.concat(*out)
+    return F.concat(*[_ngrams(words, n) for n in sizes])
+
+
+def _ngrams(words: Column, n: int) -> Column:
+    at = F.sequence(F.lit(1), F.size(words) - (n - 1))
+    made = F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>"))
 
 
 def clean(text: Column) -> Column:
