@@ -39,7 +39,9 @@ def tokens(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
 
 def ngrams(words: Column, sizes: list[int]) -> Column:
     """All n-grams of the given sizes, joined by blanks."""
-    return F.concat(*[_ngrams(words, n) for n in sizes])
+    # the one-element array binds the words, so that they are not cut again for every n-gram
+    bound = F.transform(F.array(words), lambda ws: F.concat(*[_ngrams(ws, n) for n in sizes]))
+    return F.get(bound, F.lit(0))
 
 
 def _ngrams(words: Column, n: int) -> Column:

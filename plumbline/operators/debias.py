@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.horizontal import present, array_quantile, row_absmax, row_count
-from plumbline.operators.quantiles import exact_quantiles
+from plumbline.operators.quantiles import exact_medians
 
 METHODS = [
     "filter_broad_yes",
@@ -32,7 +32,7 @@ def method_biases(df: DataFrame, methods: list[str] = METHODS) -> dict[str, floa
     logs = [F.ln(F.when(F.col(c) <= 0, EPSILON).otherwise(F.col(c).cast("double"))) for c in methods]
     centre = array_quantile(present(logs), 0.5)
     gaps = df.select(*[(x - centre).alias(c) for c, x in zip(methods, logs, strict=True)])
-    return {c: exact_quantiles(gaps, c, [0.5])[0] or 0.0 for c in methods}
+    return {c: m or 0.0 for c, m in exact_medians(gaps, methods).items()}
 
 
 def log_debias(df: DataFrame, total: str | None = "total_headcount", methods: list[str] = METHODS) -> DataFrame:
