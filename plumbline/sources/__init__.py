@@ -1,0 +1 @@
+"""Readers and writers, and the contracts tables must meet."""
