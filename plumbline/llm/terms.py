@@ -47,7 +47,7 @@ def suffix_counts(records: list[list[str]], max_n: int) -> Iterator[tuple[int, l
     columns = []
     for k in range(max_n):  # the k-th token of each suffix, 0 beyond the record
         column = np.zeros(len(flat), dtype=np.int64)
-        column[: len(flat) - k] = flat[k:]
+        column[: max(len(flat) - k, 0)] = flat[k:]
         columns.append(np.where(left > k, column, 0))
     order = np.lexsort(columns[::-1])
     sorted_record = record[order]
