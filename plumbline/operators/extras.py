@@ -91,10 +91,10 @@ def loose_lookup(names: DataFrame, name: str, known: DataFrame, known_name: str,
     equi-join with a residual.
     """
     norm = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
-    a = names.select(F.col(name), norm(F.col(name)).alias("n"))
-    b = first_wins(known.select(norm(F.col(known_name)).alias("m"), F.col(known_id)), ["m"], [known_id])
-    exact = a.join(b, F.col("n") == F.col("m"), "left").select(name, "n", F.col(known_id).alias("exact"))
-    rest = exact.filter((F.col("exact").isNull()) & (F.length("n") >= least))
-    starts = rest.join(b, (F.substring("n", 1, least) == F.substring("m", 1, least)) & F.col("m").startswith(F.col("n")))
-    first = starts.groupBy(name).agg(F.min_by(known_id, F.struct(F.length("m"), "m")).alias("loose"))
-    return exact.join(first, name, "left").select(name, F.coalesce("exact", "loose").alias("id"))
+    a = names.select(F.col(name), norm(F.col(name)).alias("__n"))
+    b = first_wins(known.select(norm(F.col(known_name)).alias("__m"), F.col(known_id)), ["__m"], [known_id])
+    exact = a.join(b, F.col("__n") == F.col("__m"), "left").select(name, "__n", F.col(known_id).alias("__exact"))
+    rest = exact.filter((F.col("__exact").isNull()) & (F.length("__n") >= least))
+    starts = rest.join(b, (F.substring("__n", 1, least) == F.substring("__m", 1, least)) & F.col("__m").startswith(F.col("__n")))
+    first = starts.groupBy(name).agg(F.min_by(known_id, F.struct(F.length("__m"), "__m")).alias("__loose"))
+    return exact.join(first, name, "left").select(name, F.coalesce("__exact", "__loose").alias("id"))

@@ -44,7 +44,7 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str) -> Data
 
 def read_json_any(spark: SparkSession, path: str, element: str, field: str = "profiles") -> DataFrame:
     """A JSON file in any of the usual shapes: lines, an array, an object with ``field``, an object of objects."""
-    text = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("v"))
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
     lines = spark.read.text(path).select(F.trim("value").alias("v"))
     whole = text.withColumn("kind", F.when(F.col("v").startswith("["), "array").when(F.get_json_object("v", f"$.{field}").isNotNull(), "field").when(F.from_json("v", "map<string, string>").isNotNull() & ~F.col("v").contains("\n{"), "object").otherwise("lines"))
     kind = whole.first()["kind"]  # one small file decides the shape
