@@ -148,9 +148,8 @@ def term_counts(
     )
     table = materialize(summed, "terms")
     totals = {r["field"]: r["records"] for r in table.filter("n = 0").collect()}  # one row per field
-    of = F.lit(None).cast("bigint")
-    for field, total in totals.items():
-        of = F.when(F.col("field") == field, F.lit(total)).otherwise(of)
+    known = [F.lit(x) for pair in totals.items() for x in pair]
+    of = F.try_element_at(F.create_map(*known), F.col("field")) if known else F.lit(None).cast("bigint")
     mark = F.when(F.col("records") < rare_below, "rare").when(
         F.col("records") > F.lit(common_above) * F.col("of_records"), "common"
     )
