@@ -90,3 +90,29 @@ def group_variance(spark, sf_dir):
 def loose_lookup(spark, sf_dir):
     names = companies(spark, sf_dir).select("company_name").filter("company_name is not null").distinct()
     return extras.loose_lookup(names, "company_name", results(spark, sf_dir).filter("company_name is not null"), "company_name", "result_id")
+
+
+@query("keyphrases")
+def keyphrases(spark, sf_dir):
+    """Keyphrases of each CV, five per text, diverse."""
+    from plumbline.operators.keyphrases import keyphrases as nearest
+
+    cvs = table(spark, sf_dir, "validation_cvs").select("cv_id", "cv_text").dropDuplicates(["cv_id"])
+    terms = cv_terms(spark, sf_dir).select("cv_id", "terms").dropDuplicates(["cv_id"])
+    return nearest(cvs.join(terms, "cv_id"), "cv_id", "cv_text", "terms", top=5)
+
+
+@query(
+    "review_batches",
+    """with d as (select doc_id, row_number() over (order by doc_id) as nr, substring(text, 1, 200) || case when length(text) > 200 then '...' else '' end as t from documents where source = 'recruiter_note' and text is not null)
+select floor((nr - 1) / 10)::bigint as batch, count(*) as n, 'Judge each profile.' || chr(10) || chr(10) || string_agg('[' || doc_id || ']' || chr(10) || t, chr(10) || chr(10) order by nr) as prompt from d group by 1""",
+)
+def review_batches(spark, sf_dir):
+    """Prompts of ten notes each, in order."""
+    from plumbline.operators.prompts import batch_prompts, short
+    from plumbline.operators.relational import group_index
+
+    d = table(spark, sf_dir, "documents").filter("source = 'recruiter_note' and text is not null").select("doc_id", short(F.col("text"), 200).alias("t"))
+    numbered = group_index(d, "doc_id", "nr", base=1)
+    told = batch_prompts(numbered, "nr", "doc_id", "t", 10, "Judge each profile.")
+    return told.select("batch", F.size("ids").cast("bigint").alias("n"), "prompt")
