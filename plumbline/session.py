@@ -59,4 +59,13 @@ def materialize(df: DataFrame, label: str = "part") -> DataFrame:
     path = f"{shared_dir(spark)}/plumbline-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._plumbline_path = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing will read again, such as the last round's of an iteration."""
+    path = getattr(table, "_plumbline_path", None)
+    if path is not None:
+        _remove(table.sparkSession, path)
