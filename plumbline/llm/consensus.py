@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import materialize
+from plumbline.session import materialize, release
 
 #: How a vote may be typed (after trimming, in lower case).
 YES = ("1", "y", "yes", "true")
@@ -69,6 +69,7 @@ def reliability(votes: DataFrame) -> tuple[DataFrame, int]:
     centred = votes.join(_small(stats, annotators), "annotator").select("item", "annotator", (F.col("y") - F.col("rate")).alias("x"))
     centred = materialize(centred, "centred")
     vector = stats.select("annotator", F.lit(1.0).alias("u"))
+    held = None
     for _ in range(ITERATIONS):
         weighted = centred.join(_small(vector, annotators), "annotator")
         items = weighted.groupBy("item").agg(F.sum(F.col("x") * F.col("u")).alias("s"), F.sum(F.col("u") * F.col("u")).alias("q"))
@@ -80,6 +81,9 @@ def reliability(votes: DataFrame) -> tuple[DataFrame, int]:
         step = materialize(
             sums.select("annotator", "before", F.coalesce(F.try_divide("shared", "overlap"), F.lit(0.0)).alias("raw"), "shared", "overlap"), "power"
         )
+        if held is not None:
+            release(held)
+        held = step
         # the best scale of the old vector, and of the new one relative to it
         row = step.agg(
             F.sum(F.col("before") * F.col("shared")).alias("top"),
@@ -158,6 +162,7 @@ def consensus(votes: DataFrame, items: DataFrame | None = None, related: list[st
             ((F.sum((1 - F.col("p")) * F.col("y")) + F.avg("y")) / (F.sum(1 - F.col("p")) + 1)).alias("fpr"),
         )
         raters = materialize(told, "rated")
+        release(scores)
     scored = weigh(votes, raters, annotators, prior)
     base = math.log(prior / (1 - prior))
     if items is not None:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.names import blocking_keys, parse_name, short_forms, similarity
-from plumbline.session import materialize
+from plumbline.session import materialize, release
 
 ACCEPT = 0.85
 ROUNDS = 30
@@ -86,6 +86,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = materialize(both, "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
+    held = labels
     for _ in range(ROUNDS):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("new"))
@@ -93,7 +94,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = lower.join(target, "new", "left").select("node", F.col("component").alias("before"), F.least("new", F.coalesce("next", "new")).alias("component"))
         step = materialize(step, "labels")
         changed = step.filter("component <> before").limit(1).count()
-        labels = step.select("node", "component")
+        release(held)
+        held, labels = step, step.select("node", "component")
         if not changed:
             break
     return labels
