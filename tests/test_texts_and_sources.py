@@ -145,3 +145,15 @@ def test_streams(spark, tmp_path):
     stream = read_jsonl(spark, str(place), "k string, v int", 1)
     assert sorted(r.k for r in run_to_table(first_seen(stream, "k")).collect()) == ["a", "b"]
     assert {r.k: r.n for r in run_to_table(running_counts(stream, ["k"]), "complete").collect()} == {"a": 3, "b": 1}
+
+
+def test_windows_leave_out_late_rows(spark, tmp_path):
+    from plumbline.streaming import windowed_counts
+
+    place = tmp_path / "w"
+    place.mkdir()
+    row = '{{"t": "{}", "k": "a", "value": {}}}\n'
+    (place / "1.json").write_text(row.format("2024-01-01T10:00:00", 1) + row.format("2024-01-01T11:00:00", 2))
+    stream = read_jsonl(spark, str(place), "t timestamp, k string, value double", 1)
+    got = run_to_table(windowed_counts(stream, "t", ["k"]), "complete").collect()
+    assert [(r.k, r.n, r.total) for r in got] == [("a", 2, 3.0)]
