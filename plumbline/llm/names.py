@@ -254,11 +254,11 @@ def similarity(a: tuple[str, ...], b: tuple[str, ...], most: int = 2) -> float:
             if min(scores) > 0 and max(scores) > 0.9 and (0.89 not in scores or max(scores) == 1):
                 best = max(best, sum(scores) / len(scores))
     if best < 1 and (len(a) != len(b) or best == 0):
-        joined = "".join(a)
-        for other in {"".join(b), "".join(reversed(b))}:
-            score = _near(joined, other, most)
-            if min(len(joined), len(other)) >= 8 and score >= 0.9:
-                best = max(best, score)
+        for joined in {"".join(a), "".join(reversed(a))}:
+            for other in {"".join(b), "".join(reversed(b))}:
+                score = _near(joined, other, most)
+                if min(len(joined), len(other)) >= 8 and score >= 0.9:
+                    best = max(best, score)
     return best
 
 
@@ -271,10 +271,10 @@ def blocking_keys(core: tuple[str, ...]) -> list[str]:
     keys = {f"j{joined}", "j" + phonetic("".join(reversed(core)))}
     if len(core) == 1:
         code = phonetic(core[0])
-        keys |= {f"j{core[0][0]}.{code[:i]}{code[i + 1:]}" for i in range(len(code))} if len(code) > 3 else set()
+        keys |= {f"j{core[0][0]}.{code}", *(f"j{core[0][0]}.{code[:i]}{code[i + 1:]}" for i in range(len(code)))} if len(code) > 3 else set()
         return sorted(keys)
     for first, code in ((core[0][0], joined), (core[-1][0], phonetic("".join(reversed(core))))):
-        keys |= {f"j{first}.{code[:i]}{code[i + 1:]}" for i in range(len(code))} if len(code) > 4 else set()
+        keys |= {f"j{first}.{code}", *(f"j{first}.{code[:i]}{code[i + 1:]}" for i in range(len(code)))} if len(code) > 4 else set()
     codes = [phonetic(w) for w in core[:3]]
     for i, word in enumerate(core[:3]):
         for j, other in enumerate(core[:3]):
