@@ -1,4 +1,4 @@
-"""Embedding similarity: stated queries against all rows in blocks, and duplicates by signed random projections."""
+"""Embedding similarity: stated queries against all rows, and all pairs for duplicates, in blocks."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 QUERY_BLOCK = 1024
 
@@ -58,43 +59,71 @@ def top_neighbours(df: DataFrame, key: str, vector: str, queries: DataFrame, k:
     return top_per_group(found, ["query"], [F.desc("similarity"), F.asc("neighbour")], k)
 
 
-def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = 0.95, tables: int = 16, bits: int = 12, seed: int = 5) -> DataFrame:
-    """(key, keeper): the earliest row before this one whose cosine is at least ``threshold``; null where there is none.
+def _near_cells(rows: DataFrame, threshold: float, cosine: bool, pairs: bool) -> DataFrame:
+    """Over all pairs of the rows (key, vec), exactly: (a, b) of similar pairs with a before b, or (key, best) the smallest similar key, itself included.
 
-    Rows share a bucket of one of ``tables`` signed random projections of
-    ``bits`` bits; equal vectors are one row from the start. Pairs from
-    buckets are checked exactly. A row's comparison is with all earlier rows,
-    not only kept ones.
+    Rows are cut into blocks of about ``QUERY_BLOCK`` and every pair of blocks
+    is one product of matrices, so work grows with the square of the rows and
+    memory does not. Similarities are rounded to nine digits.
     """
-    kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vec"))
-    usable = rows.filter("vec is not null and size(vec) > 0")
-    distinct = usable.groupBy("vec").agg(F.min("key").alias("key"))
+    kind = dict(rows.dtypes)["key"]
+    parts = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(max(1, -(-rows.count() // QUERY_BLOCK))))
+    blocks = rows.groupBy(parts.alias("part")).agg(F.array_sort(F.collect_list(F.struct("key", "vec"))).alias("rows"))
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            if not len(v):
-                continue
-            if planes is None:
-                planes = np.random.default_rng(seed).normal(size=(tables * bits, v.shape[1]))
-            signs = (v @ planes.T > 0).reshape(len(v), tables, bits)
-            codes = (signs * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
-            at = np.repeat(np.arange(len(v)), tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(codes.ravel())], names=["key", "bucket"])
-
-    buckets = distinct.select("key", "vec").mapInArrow(project, f"key {kind}, bucket bigint")
-    a = buckets.select("bucket", F.col("key").alias("a"))
-    b = buckets.select("bucket", F.col("key").alias("b"))
-    pairs = a.join(b, "bucket").filter("a < b").select("a", "b").distinct()
-    va = distinct.select(F.col("key").alias("a"), F.col("vec").alias("va"))
-    vb = distinct.select(F.col("key").alias("b"), F.col("vec").alias("vb"))
-    close = pairs.join(va, "a").join(vb, "b")
-    cosine = dot(F.col("va"), F.col("vb")) / F.greatest(F.sqrt(dot(F.col("va"), F.col("va"))) * F.sqrt(dot(F.col("vb"), F.col("vb"))), F.lit(1e-12))
-    keepers = close.filter(cosine >= threshold).groupBy("b").agg(F.min("a").alias("keeper"))
-    same = usable.join(distinct.select("vec", F.col("key").alias("first")), "vec").select("key", "first")
-    told = same.join(keepers, F.col("first") == F.col("b"), "left")
-    earliest = F.least(F.coalesce("keeper", "first"), "first")
-    found = told.select("key", F.when(earliest < F.col("key"), earliest).alias("keeper"))
-    return rows.select("key").join(found, "key", "left").select(F.col("key").alias(key), "keeper")
+            for at in range(len(batch)):
+                entry = batch.slice(at, 1).to_pylist()[0]
+                sides = []
+                for side in (entry["left"], entry["right"]):
+                    v = np.array([x["vec"] for x in side], dtype=np.float64)
+                    sides.append(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if cosine else v)
+                near = np.round(sides[0] @ sides[1].T, 9) >= threshold
+                keys = [[x["key"] for x in entry[side]] for side in ("left", "right")]
+                first, second = [], []
+                if pairs:
+                    for i, j in zip(*np.nonzero(near), strict=True):
+                        x, y = keys[0][i], keys[1][j]
+                        if x != y and (x < y or entry["i"] != entry["j"]):
+                            first.append(min(x, y))
+                            second.append(max(x, y))
+                else:  # both sides are in order of the key, so the first hit is the smallest
+                    for hit, own, other in ((near, keys[0], keys[1]), (near.T, keys[1], keys[0])):
+                        some = hit.any(axis=1)
+                        best = hit.argmax(axis=1)
+                        first += [own[i] for i in np.flatnonzero(some)]
+                        second += [other[best[i]] for i in np.flatnonzero(some)]
+                yield pa.RecordBatch.from_arrays([pa.array(first, told), pa.array(second, told)], names=list(names))
+
+    names = ("a", "b") if pairs else ("key", "best")
+    told = to_arrow_type(rows.schema["key"].dataType)
+    left = blocks.select(F.col("part").alias("i"), F.col("rows").alias("left"))
+    right = blocks.select(F.col("part").alias("j"), F.col("rows").alias("right"))
+    cells = left.join(right, F.col("i") <= F.col("j")).repartition(F.col("i"), F.col("j"))
+    return cells.mapInArrow(run, f"{names[0]} {kind}, {names[1]} {kind}")
+
+
+def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
+    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vec"))
+    return rows.filter("key is not null and vec is not null and size(vec) > 0")
+
+
+def near_pairs(df: DataFrame, key: str, vector: str, threshold: float, cosine: bool = True) -> DataFrame:
+    """(a, b): all pairs of rows, a before b, whose cosine, or dot product, is at least ``threshold``."""
+    return _near_cells(_usable(df, key, vector), threshold, cosine, True).distinct()
+
+
+def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = 0.95, cosine: bool = True) -> DataFrame:
+    """(key, keeper): the earliest row before this one whose cosine, or dot product, is at least ``threshold``; null where there is none.
+
+    Every pair of distinct vectors is compared exactly; equal vectors are one
+    row from the start. A row's comparison is with all earlier rows, not only
+    kept ones.
+    """
+    usable = _usable(df, key, vector)
+    distinct = usable.groupBy("vec").agg(F.min("key").alias("key"))
+    best = _near_cells(distinct.select("key", "vec"), threshold, cosine, False).groupBy("key").agg(F.min("best").alias("best"))
+    first = distinct.join(best, "key").select("vec", "best")
+    found = usable.join(first, "vec").select("key", F.when(F.col("best") < F.col("key"), F.col("best")).alias("keeper"))
+    found = found.groupBy("key").agg(F.min("keeper").alias("keeper"))
+    return df.select(F.col(key).alias("key")).join(found, "key", "left").select(F.col("key").alias(key), "keeper")

@@ -115,10 +115,21 @@ def embedding_neighbours(spark, sf_dir):
     return found.select("query", "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
-@query("embedding_dedup")
+#: Fixed value: two embeddings whose dot product reaches it are duplicates.
+DUPLICATE_DOT = 0.6
+_DUPLICATES = f"a.vec_id < b.vec_id and round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) >= {DUPLICATE_DOT}"
+
+
+@query("embedding_dedup", f"select b.vec_id, min(a.vec_id) as keeper from embeddings b left join embeddings a on {_DUPLICATES} group by b.vec_id")
 def embedding_dedup(spark, sf_dir):
-    """Rows with the earliest earlier row that is nearly the same."""
-    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    """Rows with the earliest earlier row that is nearly the same; those without are kept."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", DUPLICATE_DOT, cosine=False)
+
+
+@query("embedding_pairs", f"select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on {_DUPLICATES}")
+def embedding_pairs(spark, sf_dir):
+    """All pairs of rows that are nearly the same."""
+    return vectors.near_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", DUPLICATE_DOT, cosine=False)
 
 
 @query("embedding_pairwise_dot", "select vec_id, round(list_dot_product(embedding::double[], embedding::double[]), 5) as norm2 from embeddings")
