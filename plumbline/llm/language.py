@@ -322,33 +322,36 @@ def identify(texts: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def identify_segments(texts: DataFrame, model: Model, key: str, text: str = "text") -> DataFrame:
-    """One row per segment: key, place, segment, whole, lang (null below the level), confidence."""
+def identify_segments(texts: DataFrame, model: Model, key: str | list[str], text: str = "text") -> DataFrame:
+    """One row per segment: key column or columns, place, segment, whole, lang (null below the level), confidence."""
     shipped = texts.sparkSession.sparkContext.broadcast(model)
-    kind = dict(texts.dtypes)[key]
-    source = texts.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("__text"))
+    keys = [key] if isinstance(key, str) else key
+    kinds = dict(texts.dtypes)
+    source = texts.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in batches:
-            owner, place, part, whole = [], [], [], []
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                for k, (p, w) in enumerate(segments(value) if value else []):
-                    owner.append(i), place.append(k), part.append(p), whole.append(w)
-            guess = model.predict(part)
-            best, sure = guess.argmax(axis=1), guess.max(axis=1) if len(part) else []
-            lang = [CODES[b] if s >= model.level else None for b, s in zip(best, sure, strict=True)]
-            columns = [
-                batch.column(0).take(pa.array(owner, pa.int32())),
-                pa.array(place, pa.int32()),
-                pa.array(part, pa.string()),
-                pa.array(whole, pa.bool_()),
-                pa.array(lang, pa.string()),
-                pa.array(sure, pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "place", "segment", "whole", "lang", "confidence"])
-
-    return source.mapInArrow(run, f"`{key}` {kind}, {SEGMENT}")
+            for start in range(0, len(batch), 1000):
+                some = batch.slice(start, 1000)
+                owner, place, part, whole = [], [], [], []
+                for i, value in enumerate(some.column(len(keys)).to_pylist()):
+                    for k, (p, w) in enumerate(segments(value) if value else []):
+                        owner.append(i), place.append(k), part.append(p), whole.append(w)
+                guess = model.predict(part)
+                best, sure = guess.argmax(axis=1), guess.max(axis=1) if len(part) else []
+                lang = [CODES[b] if s >= model.level else None for b, s in zip(best, sure, strict=True)]
+                columns = [
+                    *[some.column(i).take(pa.array(owner, pa.int32())) for i in range(len(keys))],
+                    pa.array(place, pa.int32()),
+                    pa.array(part, pa.string()),
+                    pa.array(whole, pa.bool_()),
+                    pa.array(lang, pa.string()),
+                    pa.array(sure, pa.float64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "place", "segment", "whole", "lang", "confidence"])
+
+    return source.mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], SEGMENT]))
 
 
 def label_cases(told: DataFrame) -> DataFrame:
@@ -394,7 +397,6 @@ def p6_texts(spark, sf_dir: str) -> DataFrame:
 
 
 def p6_segments(spark, sf_dir: str) -> DataFrame:
-    """Language and confidence of every segment of the documents."""
+    """Language and confidence of every segment of the CVs and documents."""
     texts = corpus_texts(spark, sf_dir)
-    docs = texts.filter("rec_kind = 'doc'").withColumnRenamed("rec_id", "doc_id")
-    return identify_segments(docs, learn(texts), "doc_id")
+    return identify_segments(texts, learn(texts), ["rec_kind", "rec_id"])
