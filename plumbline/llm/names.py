@@ -231,10 +231,11 @@ def _cut_near(x: str, y: str) -> bool:
 
 
 DIGITS = regex.compile(r"\D+")
+NUMERALS = regex.compile(r"\d+")
 
 
 def similarity(a: tuple[str, ...], b: tuple[str, ...], most: int = 2) -> float:
-    """How alike two proper names are (0 to 1): word by word in the better order, or all in one word; 0 where they differ.
+    """How alike two proper names are (0 to 1): word by word as written, reversed or sorted, or all in one word; 0 where they differ.
 
     A word of three or four letters counts as the beginning of a longer one.
     """
@@ -242,9 +243,12 @@ def similarity(a: tuple[str, ...], b: tuple[str, ...], most: int = 2) -> float:
     if DIGITS.sub("", " ".join(sorted(a))) != DIGITS.sub("", " ".join(sorted(b))):
         return 0.0  # numbers are never misspelt
     if len(a) == len(b):
-        for other in (b, b[::-1]) if len(b) > 1 else (b,):
+        orders = [(a, b), (a, b[::-1])][: len(b)]
+        if len(b) > 2:
+            orders.append((tuple(sorted(a)), tuple(sorted(b))))
+        for own, other in orders:
             scores = []
-            for x, y in zip(a, other, strict=True):
+            for x, y in zip(own, other, strict=True):
                 if x != y and min(len(x), len(y)) <= 4 and (x.startswith(y) or y.startswith(x)) and len(a) > 1:
                     scores.append(0.9)
                 elif x[0] == y[0] and min(len(x), len(y)) in (3, 4) and abs(len(x) - len(y)) > 1 and _cut_near(x, y):
@@ -254,34 +258,41 @@ def similarity(a: tuple[str, ...], b: tuple[str, ...], most: int = 2) -> float:
             if min(scores) > 0 and max(scores) > 0.9 and (0.89 not in scores or max(scores) == 1):
                 best = max(best, sum(scores) / len(scores))
     if best < 1 and (len(a) != len(b) or best == 0):
-        for joined in {"".join(a), "".join(reversed(a))}:
-            for other in {"".join(b), "".join(reversed(b))}:
+        for joined in {"".join(a), "".join(reversed(a)), "".join(sorted(a))}:
+            for other in {"".join(b), "".join(reversed(b)), "".join(sorted(b))}:
                 score = _near(joined, other, most)
                 if min(len(joined), len(other)) >= 8 and score >= 0.9:
                     best = max(best, score)
     return best
 
 
+def _left_out(code: str) -> set[str]:
+    """The code, and the code with each sound left out."""
+    return {code, *(code[:i] + code[i + 1 :] for i in range(len(code)))}
+
+
 def blocking_keys(core: tuple[str, ...]) -> list[str]:
-    """Keys of which two spellings of a name share one: phonetic codes of its sorted words with their initials, each also with a sound left out, the codes of the joined words, and one word's code with the other's first two, or first and last, letters; of a name with numbers, its codes with them."""
-    numbers = sorted(w for w in core if w.isdigit())
-    if numbers:  # numbers are never misspelt: names that share words but not numbers share no block
-        return ["n" + ".".join([*sorted(phonetic(w) for w in core if not w.isdigit()), *numbers])]
-    joined = phonetic("".join(core))
-    keys = {f"j{joined}", "j" + phonetic("".join(reversed(core)))}
-    if len(core) == 1:
-        code = phonetic(core[0])
-        keys |= {f"j{core[0][0]}.{code}", *(f"j{core[0][0]}.{code[:i]}{code[i + 1:]}" for i in range(len(code)))} if len(code) > 3 else set()
-        return sorted(keys)
-    for first, code in ((core[0][0], joined), (core[-1][0], phonetic("".join(reversed(core))))):
-        keys |= {f"j{first}.{code}", *(f"j{first}.{code[:i]}{code[i + 1:]}" for i in range(len(code)))} if len(code) > 4 else set()
-    codes = [phonetic(w) for w in core[:3]]
-    for i, word in enumerate(core[:3]):
-        for j, other in enumerate(core[:3]):
-            if i != j:
-                keys |= {f"w{word[0]}{codes[i]}.{other[:2]}", f"w{word[0]}{codes[i]}.{other[0]}-{other[-1]}"}
-    if len(core) == 2:
-        marked = [w[0] + c for w, c in zip(core, codes, strict=True)]
-        cuts = [[m, *(m[:i] + m[i + 1 :] for i in range(1, len(m)))] for m in marked]
+    """Keys of which two spellings of a name share one, each with the name's digits, which are never misspelt.
+
+    Phonetic codes of the words joined as written, reversed and sorted, and of
+    two words apart, each also with any one sound left out, the first too; one
+    word's code with another's first letter; of short names, the letters with
+    up to two left out.
+    """
+    digits = DIGITS.sub("", " ".join(sorted(core)))
+    words = [w for w in (NUMERALS.sub("", w) for w in core) if w]
+    if not words:
+        return ["n" + digits]
+    codes = [phonetic(w) for w in words]
+    keys = set()
+    for joined in {"".join(words), "".join(reversed(words)), "".join(sorted(words))}:
+        code = phonetic(joined)
+        keys |= {f"j{c}" for c in (_left_out(code) if len(code) > 3 else {code})}
+        if len(joined) <= 8:
+            keys |= {f"d{x}" for once in _left_out(joined) for x in _left_out(once)}
+    for i, code in enumerate(codes):
+        keys |= {f"w{code}.{other[0]}" for j, other in enumerate(words) if i != j}
+    if len(words) == 2:
+        cuts = [_left_out(c) if len(c) > 1 else {c} for c in codes]
         keys |= {"s" + ".".join(sorted((x, y))) for x in cuts[0] for y in cuts[1]}
-    return sorted(keys)
+    return sorted(f"{k}#{digits}" if digits else k for k in keys)
