@@ -156,14 +156,11 @@ def limit_odds(text: str, source: str, limits: dict[tuple[str, str], dict[int, f
     return max(limits.get((source, "chars"), {}).get(len(text), 0.0), limits.get((source, "bytes"), {}).get(wide, 0.0))
 
 
-VOCABULARY = 100_000
-
-
-def known_words(texts: DataFrame, most: int = VOCABULARY, least: int = 3) -> frozenset[str]:
-    """The commonest words of the sample that are followed by something, in lower case: at most ``most``."""
+def known_words(texts: DataFrame, least: int = 3) -> frozenset[str]:
+    """The words that are followed by something ``least`` times or more in all the texts, in lower case: a vocabulary, which grows far slower than the rows."""
     words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)(?=[^\p{L}\p{M}])"), F.lit(1))).alias("w"))
     counted = words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return frozenset(r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(most).collect())
+    return frozenset(counted.select("w").toPandas()["w"])
 
 
 def _sampler(shipped):
@@ -325,7 +322,7 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     Texts without source are a source of their own, shown as null. Rows that repeat stay.
     Long texts count whole for their length; their ending is their last line.
     ``sample_rows`` bounds the rows the ending model learns from; all rows are
-    scored, and all count for limits and rates.
+    scored, and all count for words, limits and rates.
     """
     spark = docs.sparkSession
     base = docs.select(
@@ -347,14 +344,14 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     part = min(1.0, sample_rows / max(rows, 1))
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
     sample = filled.filter(place < part).select(F.col("doc_id").cast("string"), "source", "text")
-    known = known_words(sample)
+    known = known_words(filled)
     found = spark.sparkContext.broadcast((limits, known))
     learned = sample.mapInArrow(_sampler(found), "label double, features array<int>").toPandas()
     if len(learned):
         weights, bias = learn_endings(np.stack(learned["features"].to_numpy()), learned["label"].to_numpy())
     else:
         weights, bias = np.zeros(1 << BITS, dtype=np.float32), 0.0
-    shipped = spark.sparkContext.broadcast((weights, bias, limits, known))  # 1 MB of weights, the limits, at most VOCABULARY words
+    shipped = spark.sparkContext.broadcast((weights, bias, limits, known))  # 1 MB of weights, the limits, the words of the corpus
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, limits, known = shipped.value
