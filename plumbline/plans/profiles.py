@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import extras
-from plumbline.operators.nested_records import profile_nodes, typed_table
+from plumbline.operators.nested_records import flatten_records, profile_nodes, typed_table
 from plumbline.plans.base import query, table
 from plumbline.plans.companies import companies, results
 from plumbline.plans.texts import cv_terms
@@ -19,10 +19,15 @@ d as (select raw_id, list_filter([json_extract_string(profile_data, '$.summary')
 select raw_id, coalesce(array_to_string(parts, ' '), '') as profile_summary from d""",
 )
 def profile_summary(spark, sf_dir):
-    """Summary, headline and the first three descriptions."""
+    """Summary, headline and the descriptions of the first three experiences, whatever layout they are stored in; the SQL reads one layout only."""
     p = table(spark, sf_dir, "raw_profiles").select("raw_id", "profile_data").distinct().filter(F.try_parse_json("profile_data").isNotNull())
-    parts = F.array(*[F.get_json_object("profile_data", path) for path in ("$.summary", "$.headline", *[f"$.experiences[{i}].description" for i in range(3)])])
-    return p.select("raw_id", F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " ").alias("profile_summary"))
+    first = flatten_records(p.withColumn("key", F.struct("raw_id", F.xxhash64("profile_data").alias("record"))), "key", "profile_data")
+    first = first.filter("kind = 'experience' and place < 3").select("key", F.struct("place", F.get_json_object("payload", "$.description").alias("d")).alias("e"))
+    told = first.groupBy("key.raw_id", "key.record").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["d"]).alias("told"))
+    told = told.select(F.col("raw_id").alias("owner"), F.col("record").alias("own"), "told")
+    both = p.join(told, F.col("raw_id").eqNullSafe(F.col("owner")) & (F.xxhash64("profile_data") == F.col("own")), "left")
+    parts = F.concat(F.array(*[F.get_json_object("profile_data", path) for path in ("$.summary", "$.headline")]), F.coalesce("told", F.array().cast("array<string>")))
+    return both.select("raw_id", F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " ").alias("profile_summary"))
 
 
 @query("profile_flatten")
