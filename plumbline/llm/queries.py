@@ -63,6 +63,18 @@ marked as (
 """
 
 
+def _ngrams() -> str:
+    """Counts of the n-grams of the lengths of ``p1_ngrams``: windows of the word lists, unrolled."""
+    grams = " union all ".join(
+        f"select {n}::int as n, cv_id, unnest([array_to_string(words[i:i + {n - 1}], ' ') for i in range(1, len(words) - {n} + 2)]) as term from texts"
+        for n in terms.NGRAMS
+    )
+    return f"""{_LATEST}, grams as ({grams}), total as (select count(*) as n from texts)
+select g.n, g.term, count(*) as occurrences, count(distinct g.cv_id) as records,
+       case when count(distinct g.cv_id) < 3 then 'rare' when count(distinct g.cv_id) > 0.3 * any_value(t.n) then 'common' end as mark
+from grams g, total t group by g.n, g.term"""
+
+
 def oracle_sql() -> dict[str, str]:
     totals = ["claude_total_accepted", "gpt5_total_accepted", "gemini_total_accepted"]
     apart = []
@@ -76,5 +88,6 @@ where company_id is not null and {name} is not null and {a} is not null and {b}
     return {
         "p1_found": _LATEST + "select field, term, mark from marked where mark is not null",
         "p1_terms": _LATEST + "select field, term, occurrences, records, mark from marked",
+        "p1_ngrams": _ngrams(),
         "p4_totals": " union all ".join(apart),
     }
