@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import extras
-from plumbline.operators.nested_records import flatten_records, profile_nodes, typed_table
+from plumbline.operators.nested_records import VariantTables, flatten_records, profile_nodes
 from plumbline.plans.base import query, table
 from plumbline.plans.companies import companies, results
 from plumbline.plans.texts import cv_terms
@@ -44,14 +44,14 @@ def profile_flatten(spark, sf_dir):
 @query("profile_titles")
 def profile_titles(spark, sf_dir):
     """All titles of a profile, and which is its last."""
-    e = typed_table(profile_nodes(spark, sf_dir), "experience", "raw_id").distinct().filter("title is not null and trim(title) <> ''")
+    e = VariantTables(profile_nodes(spark, sf_dir), "raw_id").kind("experience").distinct().filter("title is not null and trim(title) <> ''")
     last = e.groupBy("raw_id").agg(F.max("place").alias("last"))
     return e.join(last, "raw_id").select("raw_id", "title", "place", (F.col("place") == F.col("last")).alias("is_last"))
 
 
 @query("title_counts")
 def title_counts(spark, sf_dir):
-    e = typed_table(profile_nodes(spark, sf_dir), "experience", "raw_id").distinct()
+    e = VariantTables(profile_nodes(spark, sf_dir), "raw_id").kind("experience").distinct()
     return e.filter("title is not null and trim(title) <> ''").groupBy("title").agg(F.count("*").alias("count"))
 
 

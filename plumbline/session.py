@@ -26,12 +26,14 @@ def local_session(cores: int | str = "*", name: str = "plumbline") -> SparkSessi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset and Spark runs on this machine alone (tests)."""
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place is None:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             made = tempfile.mkdtemp(prefix="plumbline-")
             sc.setCheckpointDir(f"file://{made}")
             current = sc._jsc.sc().getCheckpointDir()
@@ -48,18 +50,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, label: str = "part") -> DataFrame:
+def materialize(df: DataFrame, label: str = "part", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     Cuts the lineage as a checkpoint does, survives lost executors, and keeps
-    column pruning and filter push-down for whatever reads it. The files go
-    when the driver ends.
+    column pruning and filter push-down for whatever reads it. ``partition_by``
+    gives each of its values a folder of its own; those columns come last. The
+    files go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(partition_by) or None)
     atexit.register(_remove, spark, path)
-    table = spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    if partition_by:
+        schema = type(schema)([f for f in schema if f.name not in partition_by] + [schema[c] for c in partition_by])
+    table = spark.read.schema(schema).parquet(path)
     table._plumbline_path = path
     return table
 
