@@ -8,15 +8,21 @@ without forming the matrix: one aggregate of the votes by item and one by
 annotator give, for each annotator, the agreement with all others on shared
 items and the weight of that overlap, by which it is divided. The vector
 yields each annotator's sensitivity and specificity, hence the weight of a
-vote. Raters whose errors are related (several models of one kind) enter
-together: the weight of their joint pattern of votes is counted against the
-consensus of the independent annotators.
+vote; only the share of items of label 1 is settled against the weighted
+consensus, one number. Raters whose errors are related (several models of one
+kind) enter together: the weight of their joint pattern of votes is counted
+against the consensus of the independent annotators.
+
+Totals of a few raters have their agreement matrix formed in one aggregate: the
+leading eigenvector of their logs weighs the others of a record to the total
+expected of each.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +34,8 @@ NO = ("0", "n", "no", "false")
 
 BROADCAST_ROWS = 500_000
 UNRELIABLE_BELOW = 0.15
-REFINEMENTS = 5
-ITERATIONS = 12
-TOLERANCE = 1e-3
+MOST_ROUNDS = 500  # a vector or share that has not settled by then is an error
+TOLERANCE = 1e-4
 CLIP = 0.01
 
 
@@ -70,7 +75,9 @@ def reliability(votes: DataFrame) -> tuple[DataFrame, int]:
     centred = materialize(centred, "centred")
     vector = stats.select("annotator", F.lit(1.0).alias("u"))
     held = None
-    for _ in range(ITERATIONS):
+    for turn in range(MOST_ROUNDS + 1):
+        if turn == MOST_ROUNDS:
+            raise RuntimeError(f"the eigenvector did not settle within {MOST_ROUNDS} rounds")
         weighted = centred.join(_small(vector, annotators), "annotator")
         items = weighted.groupBy("item").agg(F.sum(F.col("x") * F.col("u")).alias("s"), F.sum(F.col("u") * F.col("u")).alias("q"))
         sums = weighted.join(items, "item").groupBy("annotator").agg(
@@ -98,7 +105,7 @@ def reliability(votes: DataFrame) -> tuple[DataFrame, int]:
         length = math.sqrt(max(row["top"], 0.0) / row["bottom"] * row["bb"])
         vector = step.select("annotator", (F.col("raw") * F.lit((length or math.sqrt(row["rr"])) / math.sqrt(row["rr"]))).alias("u"))
         cosine = row["rb"] / math.sqrt(row["rr"] * row["bb"])
-        if abs(cosine) > 1 - TOLERANCE**2:
+        if 1 - abs(cosine) < TOLERANCE**2 / 2:
             break
     joined = stats.join(_small(vector, annotators), "annotator")
     side = joined.agg(F.sum(F.col("u") * F.col("votes")).alias("s")).first()["s"]
@@ -119,6 +126,16 @@ def weigh(votes: DataFrame, raters: DataFrame, annotators: int, prior: float) ->
     return voted.groupBy("item").agg((F.sum(weight) + F.lit(math.log(prior / (1 - prior)))).alias("score"))
 
 
+def _share(mean: float | None) -> float:
+    return min(max(mean if mean is not None else 0.5, 0.02), 0.98)
+
+
+def rates(vector: DataFrame, prior: float) -> DataFrame:
+    """annotator, votes, rate, sens, fpr of every annotator, from the vector: their gap is u over the deviation of the true label."""
+    gap = F.col("u") / F.lit(math.sqrt(prior * (1 - prior)))
+    return vector.select("annotator", "votes", "rate", (F.col("rate") + (1 - F.lit(prior)) * gap).alias("sens"), (F.col("rate") - F.lit(prior) * gap).alias("fpr"))
+
+
 def _p(score: Column) -> Column:
     return 1 / (1 + F.exp(-score))
 
@@ -140,36 +157,25 @@ def consensus(votes: DataFrame, items: DataFrame | None = None, related: list[st
     one annotator there is no agreement to learn from: informed is 0. Empty
     tables give empty results.
     """
-    raters, annotators = reliability(votes)
+    vector, annotators = reliability(votes)
     row = votes.agg(F.avg("y").alias("rate")).first()
-    prior = min(max(row["rate"] if row["rate"] is not None else 0.5, 0.02), 0.98)
-    spread = F.col("u") / F.lit(math.sqrt(prior * (1 - prior)))
-    raters = raters.select(
-        "annotator",
-        "votes",
-        "rate",
-        (F.col("rate") + (1 - F.lit(prior)) * spread).alias("sens"),
-        (F.col("rate") - F.lit(prior) * spread).alias("fpr"),
-    )
-    for _ in range(REFINEMENTS):  # the scale of the vector depends on the prior: settle both against the weighted consensus
-        scores = materialize(weigh(votes, raters, annotators, prior).select("item", _p(F.col("score")).alias("p")), "scores")
-        mean = scores.agg(F.avg("p").alias("p")).first()["p"]
-        prior = min(max(mean if mean is not None else 0.5, 0.02), 0.98)
-        told = votes.join(scores, "item").groupBy("annotator").agg(
-            F.count("*").alias("votes"),
-            F.avg("y").alias("rate"),
-            ((F.sum(F.col("p") * F.col("y")) + F.avg("y")) / (F.sum("p") + 1)).alias("sens"),
-            ((F.sum((1 - F.col("p")) * F.col("y")) + F.avg("y")) / (F.sum(1 - F.col("p")) + 1)).alias("fpr"),
-        )
-        raters = materialize(told, "rated")
-        release(scores)
+    prior = _share(row["rate"])
+    for turn in range(MOST_ROUNDS + 1):  # the share of the label 1: that at which the weighted consensus has it
+        if turn == MOST_ROUNDS:
+            raise RuntimeError(f"the share of the label did not settle within {MOST_ROUNDS} rounds")
+        raters = rates(vector, prior)
+        mean = weigh(votes, raters, annotators, prior).agg(F.avg(_p(F.col("score"))).alias("p")).first()["p"]
+        moved, prior = abs(_share(mean) - prior), _share(mean)
+        if moved < TOLERANCE * 10:
+            break
+    raters = rates(vector, prior)
     scored = weigh(votes, raters, annotators, prior)
     base = math.log(prior / (1 - prior))
     if items is not None:
         pattern = F.concat_ws("", *[F.coalesce(F.col(c).cast("int").cast("string"), F.lit("_")) for c in related or []])
         every = items.select("item", pattern.alias("pattern")).dropDuplicates(["item"])
-        both = materialize(every.join(scored, "item", "left").select("item", "pattern", F.coalesce("score", F.lit(base)).alias("score")), "both")
-        with_votes = both.filter(F.col("score") != F.lit(base))
+        both = materialize(every.join(scored, "item", "left").select("item", "pattern", F.col("score").isNotNull().alias("voted"), F.coalesce("score", F.lit(base)).alias("score")), "both")
+        with_votes = both.filter("voted")
         # at most 3 ** len(related) patterns
         table = with_votes.groupBy("pattern").agg(F.sum(_p(F.col("score"))).alias("yes"), F.sum(1 - _p(F.col("score"))).alias("no"))
         gain = F.ln((F.col("yes") + 5 * prior) / (F.col("no") + 5 * (1 - prior))) - F.lit(base)
@@ -192,22 +198,70 @@ def consensus(votes: DataFrame, items: DataFrame | None = None, related: list[st
 TOTALS = ("claude_total_accepted", "gpt5_total_accepted", "gemini_total_accepted")
 
 
+def leading_vector(matrix: np.ndarray) -> np.ndarray:
+    """The leading eigenvector of a small agreement matrix by power iteration, of sum 1 and without negative parts; equal parts where nothing agrees."""
+    size = len(matrix)
+    vector = np.full(size, 1 / size)
+    for _ in range(MOST_ROUNDS):
+        new = np.maximum(matrix @ vector, 0.0)
+        if not new.sum() > 0:
+            return np.full(size, 1 / size)
+        new /= new.sum()
+        if abs(new - vector).max() < 1e-9:
+            return new
+        vector = new
+    raise RuntimeError(f"the eigenvector did not settle within {MOST_ROUNDS} rounds")
+
+
+def expected_totals(companies: DataFrame, totals: tuple[str, ...] = TOTALS) -> DataFrame:
+    """(company_id, total, value, weight, expected, residual, low, high) of companies whose totals are all present.
+
+    The totals' logs, centred by their column's mean, have their products
+    averaged over the companies; that matrix without its diagonal has the
+    totals' reliability as its leading eigenvector. ``expected`` is the mean of
+    the other totals' logs by these weights, ``residual`` the log over it;
+    ``low`` and ``high`` bound the others. A total of 0 has no log: it is left
+    out of the matrix, and its residual is minus infinity. Companies with
+    another total of 0 or less give no row for this one, those without id or
+    with a null or NaN total none at all. Repeated rows count once.
+    """
+    rows = companies.select("company_id", *[F.col(c).cast("double").alias(c) for c in totals]).filter("company_id is not null").distinct()
+    for c in totals:
+        rows = rows.filter(F.col(c).isNotNull() & ~F.isnan(c))
+    logs = {c: F.ln(F.when(F.col(c) > 0, F.col(c))) for c in totals}
+    pairs = [(i, j) for i in range(len(totals)) for j in range(i + 1, len(totals))]
+    told = rows.agg(*[F.covar_pop(logs[totals[i]], logs[totals[j]]).alias(f"c{i}_{j}") for i, j in pairs]).first()  # one number per pair of totals
+    matrix = np.zeros((len(totals), len(totals)))
+    for i, j in pairs:
+        value = told[f"c{i}_{j}"]
+        matrix[i, j] = matrix[j, i] = value if value is not None and math.isfinite(value) else 0.0
+    # any convex weights keep the expected total between the others; a floor keeps each of them in it
+    weights = np.maximum(leading_vector(matrix), 1e-3)
+    out = []
+    for i, name in enumerate(totals):
+        others = [j for j in range(len(totals)) if j != i]
+        mass = sum(weights[j] for j in others)
+        expected = sum((F.lit(float(weights[j] / mass)) * logs[totals[j]] for j in others), F.lit(0.0))
+        residual = F.when(F.col(name) > 0, F.ln(F.when(F.col(name) > 0, F.col(name))) - expected).otherwise(F.lit(float("-inf")))
+        own = [F.col(totals[j]) for j in others]
+        entry = F.struct(
+            F.lit(name).alias("total"), F.col(name).alias("value"), F.lit(float(weights[i])).alias("weight"), F.exp(expected).alias("expected"), residual.alias("residual"),
+            F.least(*own).alias("low"), F.greatest(*own).alias("high"),
+        )
+        out.append(entry)
+    return rows.select("company_id", F.explode(F.array(*out)).alias("t")).select("company_id", "t.*").filter("low > 0")
+
+
 def totals_apart(companies: DataFrame, totals: tuple[str, ...] = TOTALS, near: float = 1.5, far: float = 4.0) -> DataFrame:
-    """(company_id, total): totals at least ``far`` times above or below the others, which agree within ``near``.
+    """(company_id, total): totals whose residual against the weighted others reaches ``far``.
 
-    A null total, or another total of 0 or less, gives no case; repeated rows give one.
+    Checked exactly after that: the others agree within ``near``, and the total
+    is ``far`` times above the larger or below the smaller of them. As the
+    expected total lies between the others, the first step loses none of these.
     """
-    out = None
-    for name in totals:
-        others = [F.col(c) for c in totals if c != name]
-        low, high = F.least(*others), F.greatest(*others)
-        apart = (F.col(name) >= far * high) | (F.col(name) <= low / far)
-        complete = F.lit(True)
-        for c in totals:
-            complete &= F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-        one = companies.filter(complete & (low > 0) & (high <= near * low) & apart).select("company_id", F.lit(name).alias("total"))
-        out = one if out is None else out.unionAll(one)
-    return out.filter("company_id is not null").distinct()
+    told = expected_totals(companies, totals).filter(F.abs("residual") >= math.log(far) - 1e-9)
+    apart = (F.col("value") >= far * F.col("high")) | (F.col("value") <= F.col("low") / far)
+    return told.filter((F.col("high") <= near * F.col("low")) & apart).select("company_id", "total").distinct()
 
 
 RELATED = [

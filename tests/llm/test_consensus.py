@@ -51,3 +51,31 @@ def test_totals_apart(spark):
     rows = [("a", 40.0, 10.0, 10.0), ("b", 39.0, 10.0, 10.0), ("c", 2.0, 10.0, 12.0), ("d", None, 10.0, 10.0), ("e", 0.0, 10.0, 10.0), ("f", 100.0, 10.0, 16.0), ("g", 9.0, 0.0, 0.0), ("a", 40.0, 10.0, 10.0)]
     df = spark.createDataFrame(rows, "company_id string, claude_total_accepted double, gpt5_total_accepted double, gemini_total_accepted double")
     assert sorted(r.company_id for r in consensus.totals_apart(df).collect()) == ["a", "c", "e"]
+
+
+def test_expected_totals(spark):
+    rows = [(str(i), float(i + 1), float(i + 1), float(2 * i + 2)) for i in range(30)] + [("odd", 1000.0, 10.0, 10.0), (None, 1.0, 1.0, 1.0), ("nan", float("nan"), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "company_id string, claude_total_accepted double, gpt5_total_accepted double, gemini_total_accepted double")
+    told = {(r.company_id, r.total): r for r in consensus.expected_totals(df).collect()}
+    assert len(told) == 93
+    odd = told["odd", "claude_total_accepted"]
+    assert odd.residual > np.log(50) and abs(odd.expected - 10) < 1e-6
+    assert consensus.expected_totals(df.limit(0)).count() == 0
+
+
+def test_leading_vector():
+    u = np.array([0.2, 0.5, 0.3])
+    matrix = np.outer(u, u)
+    got = consensus.leading_vector(matrix)
+    assert abs(got - u / u.sum()).max() < 1e-6
+    assert list(consensus.leading_vector(np.zeros((3, 3)))) == [1 / 3] * 3
+
+
+def test_vector_that_does_not_settle_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(consensus, "MOST_ROUNDS", 1)
+    votes = spark.createDataFrame([(i, a, float((i * k) % 3 == 0)) for i in range(40) for k, a in enumerate("xyz", 1)], "item bigint, annotator string, y double")
+    try:
+        consensus.consensus(votes)
+    except RuntimeError:
+        return
+    raise AssertionError
