@@ -47,3 +47,15 @@ def test_empty_tables(spark):
     assert mix == [] and shares == {}
     _, shares = mixed(spark, [(1, "a", "x")], [("a", None, 1), (None, 0.5, 1)])
     assert shares["a"].reached_tokens == 0
+
+
+def test_one_id_on_a_third_of_the_rows(spark):
+    docs = [(1, "a", "one two three")] * 500 + [(i, "a", "one two three") for i in range(2, 1000)]
+    mix, shares = mixed(spark, docs, [("a", 0.7, 1), ("b", 0.3, 1)])
+    told = shares["a"]
+    one = mix[0].n_tokens
+    assert told.served and 0 <= told.budget_tokens - told.reached_tokens < one
+    assert sum(r.copies * r.n_tokens for r in mix) == told.reached_tokens
+    every = [(1, "a", "one two three")] * 300
+    mix, shares = mixed(spark, every, [("a", 0.5, 1), ("b", 0.5, 1)])
+    assert shares["a"].served and len(mix) == 150
