@@ -4,22 +4,31 @@ A segment is a sentence of a line; names, quoted and bracketed titles and
 markup are taken out first. Its hashed character n-grams (one to four
 characters, within and across words) are averaged as embeddings and go through
 a linear softmax. The model is trained by stochastic gradient descent in numpy
-on a bounded sample of labelled texts; labels that the first pass contradicts
-are set aside before the second. Confidence is calibrated on sentences held
-out, and a segment below the level that gives the wanted precision has no
-language.
+on a bounded sample of distinct labelled texts; segments whose label the first
+pass contradicts are set aside before the second.
+
+Rejection is calibrated on texts held out whole, those with contradicted labels
+among them. Labels are wrong at some rate whatever the model says; that rate,
+measured where the model is most certain, is taken off before precision is
+read. Two things reject a segment: a confidence below the level that gives the
+wanted precision, and n-grams so rare in the language found that the segment is
+likely in none of the languages. A text none of whose segments are accepted has
+no language unless it is accepted as a whole.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import materialize
@@ -47,21 +56,42 @@ SIZES = (1, 2, 3, 4)
 DIM = 16
 EPOCHS = 3
 PRECISION = 0.995
-HIGHEST_LEVEL = 0.8
+HELD_OUT = 0.15
+SEGMENTS_PER_TEXT = 40  # of a sample text, drawn by hash from all of it
 SEGMENT_LETTERS = 12
 BLOCK_CHARS = 150_000
 
-MARKUP = regex.compile(r"</?[a-zA-Z][^<>]{0,80}>|&(?:[a-zA-Z]{2,8}|#\d{2,6});|<\|[a-z]+\|>|https?://\S+|\S+@\S+\.\w+")
-QUOTED = regex.compile(
+MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,80}>|&(?:[a-zA-Z]{2,8}|#[0-9]{2,6});|<\|[a-z]+\|>|https?://\S+|\S+@\S+\.\w+|\"[A-Za-z_]\w*\"\s*:")
+MARKS = re.compile(r"[<&@]|://|\"\s*:")
+QUOTED = re.compile(
     r"\([^()\n]{0,160}\)|（[^（）\n]{0,160}）|\[[^\[\]\n]{0,160}\]|«[^«»\n]{0,160}»|“[^“”\n]{0,160}”|„[^„“”\n]{0,160}[“”]|「[^「」\n]{0,160}」"
     r"|『[^『』\n]{0,160}』|《[^《》\n]{0,160}》|\"[^\"\n]{0,160}\"|‘[^‘’\n]{0,160}’"
 )
-BREAK = regex.compile(r"(?<=[.!?…])(?=\s)|(?<=[。！？｡])|\s/\s|[\r\n]+")
-LETTER = regex.compile(r"\p{L}")
-WHOLE = regex.compile(r"[.!?…。！？｡][\"'”’»)\]}*_`]*$")
-HAN_KANA = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-HIDDEN = regex.compile(r"(?![\n\r\t])[\p{Cf}\p{Cc}]")
-SPACES = regex.compile(r"\s+")
+OPENERS = re.compile("[(（[«“„「『《\"‘]")
+BREAK = re.compile(r"(?<=[.!?…])(?=\s)|(?<=[。！？｡])|\s/\s|[\r\n]+")
+WHOLE = re.compile(r"[.!?…。！？｡][\"'”’»)\]}*_`]*$")
+DIGITS = re.compile("[0-9]+")
+
+
+def _every(pattern: str) -> str:
+    """All characters that match."""
+    points = (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    return "".join(regex.findall(pattern, "".join(map(chr, points))))
+
+
+@cache
+def hidden() -> re.Pattern:
+    """Control and format characters but line ends and tabs."""
+    return re.compile("[" + re.escape(_every(r"(?![\n\r\t])[\p{Cf}\p{Cc}]")) + "]")
+
+
+@cache
+def letter_weights() -> np.ndarray:
+    """By code point: 1 for a letter, 3 for an ideograph or kana, as it tells as much, else 0."""
+    out = np.zeros(0x110000, dtype=np.uint8)
+    for pattern, weight in ((r"\p{L}", 1), (r"[\p{Han}\p{Hiragana}\p{Katakana}]", 3)):
+        out[[ord(c) for c in _every(pattern)]] = weight
+    return out
 
 
 def canonical(label: Column) -> Column:
@@ -74,28 +104,41 @@ def canonical(label: Column) -> Column:
 
 def segments(text: str) -> list[tuple[str, bool]]:
     """(segment, whole): the text's sentences and lines, titles taken out; whole ones end in a sentence end."""
-    plain = MARKUP.sub(" ", unicodedata.normalize("NFC", text))
-    plain = HIDDEN.sub("", plain)
-    bare = QUOTED.sub(" ", plain)
-    if sum(map(len, LETTER.findall(bare))) < LEAST_LETTERS:
+    plain = text if text.isascii() else unicodedata.normalize("NFC", text)
+    if MARKS.search(plain):
+        plain = MARKUP.sub(" ", plain)
+    plain = hidden().sub("", plain)
+    bare = QUOTED.sub(" ", plain) if OPENERS.search(plain) else plain
+    if len(bare) < len(plain) and letter_counts([bare])[0] < LEAST_LETTERS:
         bare = plain
     out = []
     for part in BREAK.split(bare):
-        part = SPACES.sub(" ", part).strip()
+        part = " ".join(part.split())
         if part:
-            out.append((part, bool(WHOLE.search(part))))
+            out.append((part, WHOLE.search(part) is not None))
     return out
 
 
-def letters(text: str) -> int:
-    """Letters of a segment; an ideograph or kana counts three, as it tells as much."""
-    return len(LETTER.findall(text)) + 2 * len(HAN_KANA.findall(text))
+def code_points(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all parts, each closed by a zero; the part of each)."""
+    points = np.frombuffer("\x00".join([*(p.replace("\x00", " ") for p in parts), ""]).encode("utf-32-le", "replace"), dtype=np.uint32)
+    ends = np.cumsum(points == 0)
+    return points, ends - (points == 0)
+
+
+def letter_counts(parts: list[str], weighted: bool = False) -> np.ndarray:
+    """Letters of each part; ``weighted``: as :func:`letter_weights`."""
+    if not parts:
+        return np.zeros(0, dtype=np.int64)
+    points, owner = code_points(parts)
+    told = letter_weights()[points]
+    return np.bincount(owner, told if weighted else told > 0, minlength=len(parts)).astype(np.int64)
 
 
 def ngram_hashes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, part of each): all n-grams of all parts, computed over one array of code points."""
-    joined = "\x00".join(f" {regex.sub(r'[0-9]+', '0', p.lower())} " for p in parts)
-    points = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    folded = DIGITS.sub("0", "\x00".join(f" {p.lower()} " for p in parts))
+    points = np.frombuffer(folded.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
     owner = np.cumsum(points == 0)
     hashes, owners = [], []
     value = np.zeros(len(points), dtype=np.uint64)
@@ -123,12 +166,18 @@ class Model:
     bias: np.ndarray
     scale: float
     level: float
+    usual: np.ndarray | None = None  # BUCKETS x languages: log frequency of an n-gram in the language
+    strange: float = float("inf")  # deviations below what is usual in its language at which a segment is in none
+    norm: np.ndarray = field(default_factory=lambda: np.zeros((len(CODES), 2)))  # by language: mean of a segment's average log frequency, its deviation
 
     def predict(self, parts: list[str]) -> np.ndarray:
         """Calibrated probabilities of every part."""
-        if not parts:
-            return np.zeros((0, len(CODES)))
+        return self.judge(parts)[0]
+
+    def judge(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(calibrated probabilities, deviations below what is usual in the likeliest language) of every part."""
         out = np.zeros((len(parts), len(CODES)))
+        strange = np.zeros(len(parts))
         start = 0
         while start < len(parts):
             end, chars = start + 1, len(parts[start])
@@ -138,17 +187,38 @@ class Model:
             chunk = parts[start:end]
             h, o = ngram_hashes(chunk)
             sums = np.zeros((len(chunk), len(CODES)))
-            for at in range(0, len(h), 4 * BLOCK_CHARS):  # a very long part goes through in slices
+            slices = range(0, len(h), 4 * BLOCK_CHARS)  # a very long part goes through in slices
+            for at in slices:
                 some, owner = h[at : at + 4 * BLOCK_CHARS], o[at : at + 4 * BLOCK_CHARS]
                 own, first = np.unique(owner, return_index=True)
                 sums[own] += np.add.reduceat(self.table[some], first, axis=0)
-            counts = np.bincount(o, minlength=len(chunk))[:, None]
-            logits = (sums / counts + self.bias) * self.scale
+            counts = np.bincount(o, minlength=len(chunk))
+            logits = (sums / counts[:, None] + self.bias) * self.scale
             logits -= logits.max(axis=1, keepdims=True)
             e = np.exp(logits)
             out[start:end] = e / e.sum(axis=1, keepdims=True)
+            if self.usual is not None:
+                best = logits.argmax(axis=1)
+                told = np.zeros(len(chunk))
+                for at in slices:
+                    some, owner = h[at : at + 4 * BLOCK_CHARS], o[at : at + 4 * BLOCK_CHARS]
+                    told += np.bincount(owner, self.usual[some, best[owner]], minlength=len(chunk))
+                strange[start:end] = self.strangeness(told / counts, counts, best)
             start = end
-        return out
+        return out, strange
+
+    def strangeness(self, average: np.ndarray, counts: np.ndarray, best: np.ndarray) -> np.ndarray:
+        mean, deviation = self.norm[best, 0], self.norm[best, 1]
+        return np.where(deviation > 0, (mean - average) * np.sqrt(np.minimum(counts, NGRAMS_TOLD)) / np.maximum(deviation, 1e-9), 0.0)
+
+    def accepted(self, guess: np.ndarray, strange: np.ndarray) -> np.ndarray:
+        """Which parts have a language."""
+        return (guess.max(axis=1, initial=0.0) >= self.level) & (strange < self.strange)
+
+
+WITHIN, WITHOUT = 0.999, 0.5
+LEAST_SPREAD = 1.0  # of a language whose held-out segments are nearly alike
+NGRAMS_TOLD = 300  # beyond as many n-grams a segment's average is no steadier
 
 
 def _train(parts: list[str], labels: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,37 +231,39 @@ def _train(parts: list[str], labels: np.ndarray, seed: int) -> tuple[np.ndarray,
     weight = np.where(share > 0, 1 / np.sqrt(np.maximum(share, 1e-4)), 0)
     weight /= max((weight * share).sum(), 1e-9)
     order = draw.permutation(len(parts))
-    blocks = [order[i : i + 4096] for i in range(0, len(order), 4096)]
-    hashed = []
-    for block in blocks:
+    steps = []  # by mini-batch: n-grams, their parts, labels, and the n-grams' order by bucket, which sums a bucket's gradients in one pass
+    for at in range(0, len(order), 4096):
+        block = order[at : at + 4096]
         h, o = ngram_hashes([parts[i] for i in block])
-        hashed.append((h, np.searchsorted(o, np.arange(len(block) + 1)), labels[block]))
+        starts = np.searchsorted(o, np.arange(len(block) + 1))
+        for s in range(0, len(block), 64):
+            e = min(s + 64, len(block))
+            idx = h[starts[s] : starts[e]]
+            by_bucket = np.argsort(idx.astype(np.uint16), kind="stable")
+            used, first = np.unique(idx[by_bucket], return_index=True)
+            part = (o[starts[s] : starts[e]] - s)[by_bucket]
+            steps.append((idx, starts[s:e] - starts[s], np.diff(starts[s : e + 1])[:, None].astype(np.float32), labels[block[s:e]], used, first, part))
     for epoch in range(EPOCHS):
         rate = 0.5 * (1 - epoch / EPOCHS)
-        for h, starts, y_all in hashed:
-            for s in range(0, len(y_all), 64):
-                e = min(s + 64, len(y_all))
-                idx = h[starts[s] : starts[e]]
-                cut = starts[s:e] - starts[s]
-                size = np.diff(starts[s : e + 1])[:, None].astype(np.float32)
-                hidden = np.add.reduceat(embed[idx], cut, axis=0) / size
-                logits = hidden @ soft + bias
-                logits -= logits.max(axis=1, keepdims=True)
-                p = np.exp(logits)
-                p /= p.sum(axis=1, keepdims=True)
-                y = y_all[s:e]
-                p[np.arange(len(y)), y] -= 1
-                p *= weight[y][:, None]
-                grad_h = (p @ soft.T) / size * 8
-                soft -= rate * (hidden.T @ p) / 8
-                bias -= rate * p.mean(axis=0)
-                np.subtract.at(embed, idx, rate * np.repeat(grad_h, size[:, 0].astype(int), axis=0))
+        for idx, cut, size, y, used, first, part in steps:
+            hidden = np.add.reduceat(embed[idx], cut, axis=0) / size
+            logits = hidden @ soft + bias
+            logits -= logits.max(axis=1, keepdims=True)
+            p = np.exp(logits)
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(y)), y] -= 1
+            p *= weight[y][:, None]
+            grad_h = ((p @ soft.T) / size * 8).astype(np.float32)
+            soft -= (rate * (hidden.T @ p) / 8).astype(np.float32)
+            bias -= (rate * p.mean(axis=0)).astype(np.float32)
+            embed[used] -= rate * np.add.reduceat(grad_h[part], first, axis=0)
     return embed, soft, bias
 
 
-def train(parts: list[str], labels: list[int], seed: int = 5) -> Model:
-    """The model of labelled segments, part of which are held out for calibration."""
+def train(parts: list[str], labels: list[int], texts: list[int] | None = None, seed: int = 5) -> Model:
+    """The model of labelled segments. ``texts`` says which text each is of: texts are held out whole for calibration."""
     y = np.array(labels, dtype=np.int64)
+    owner = np.array(texts, dtype=np.int64) if texts is not None else np.arange(len(parts))
     flat = Model(np.zeros((BUCKETS, len(CODES)), dtype=np.float32), np.zeros(len(CODES)), 1.0, 1.1)
     if len(parts) < 2 or len(set(labels)) < 2:
         if labels:
@@ -199,9 +271,11 @@ def train(parts: list[str], labels: list[int], seed: int = 5) -> Model:
             flat.level = 0.5
         return flat
     draw = np.random.default_rng(seed)
-    held = draw.random(len(parts)) < 0.15
+    names, at = np.unique(owner, return_inverse=True)
+    held = (draw.random(len(names)) < HELD_OUT)[at]
+    if held.all() or not held.any():
+        held = draw.random(len(parts)) < HELD_OUT
     kept = np.flatnonzero(~held)
-    scale = 1.0
     for turn in range(2):
         embed, soft, bias = _train([parts[i] for i in kept], y[kept], seed + turn)
         model = Model((embed @ soft).astype(np.float32), bias, 1.0, 0.0)
@@ -210,75 +284,148 @@ def train(parts: list[str], labels: list[int], seed: int = 5) -> Model:
             doubtful = (guess.argmax(axis=1) != y[kept]) & (guess.max(axis=1) > 0.6)
             kept = kept[~doubtful]
     out = np.flatnonzero(held)
-    guess = model.predict([parts[i] for i in out])
-    own = guess[np.arange(len(out)), y[out]]
-    fair = ~((guess.argmax(axis=1) != y[out]) & (guess.max(axis=1) > 0.8))  # wrong labels say nothing of the calibration
-    logits = np.log(np.maximum(guess[fair], 1e-12))
-    target = y[out][fair]
+    model.level = 0.5
+    if len(out):
+        calibrate(model, [parts[i] for i in out], y[out])
+        learn_usual(model, [parts[i] for i in kept], y[kept], [parts[i] for i in out], y[out])
+    return model
+
+
+def wrong_labels(guess: np.ndarray, y: np.ndarray) -> float:
+    """The share of wrong labels: that of contradictions among the half of the parts the model is most certain of."""
+    sure = np.argsort(-guess.max(axis=1), kind="stable")[: max(len(y) // 2, 1)]
+    return float((guess[sure].argmax(axis=1) != y[sure]).mean())
+
+
+def calibrate(model: Model, parts: list[str], y: np.ndarray) -> None:
+    """Set the scale of the logits and the level below which a part is rejected, on held-out parts with labels as they are."""
+    guess = model.predict(parts)
+    noise = wrong_labels(guess, y)
+    logits = np.log(np.maximum(guess, 1e-12))
     best = None
-    for candidate in (0.5, 0.7, 1.0, 1.5, 2.0):
-        z = logits * candidate
-        z -= z.max(axis=1, keepdims=True)
-        loss = -(z[np.arange(len(target)), target] - np.log(np.exp(z).sum(axis=1))).mean() if len(target) else 0.0
+    for candidate in (0.5, 0.7, 1.0, 1.5, 2.0, 3.0):
+        z = np.exp(candidate * (logits - logits.max(axis=1, keepdims=True)))
+        p = z / z.sum(axis=1, keepdims=True)
+        told = (1 - noise) * p[np.arange(len(y)), y] + noise / len(CODES)  # a wrong label may be any
+        loss = -np.log(np.maximum(told, 1e-12)).mean()
         if best is None or loss < best[0]:
             best = (loss, candidate)
     model.scale = best[1]
-    guess = model.predict([parts[i] for i in out])[fair]
-    right = guess.argmax(axis=1) == target
-    order = np.argsort(-guess.max(axis=1))
-    precision = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
+    guess = model.predict(parts)
+    sure = guess.max(axis=1)
+    order = np.argsort(-sure, kind="stable")
+    taken = np.arange(1, len(order) + 1)
+    wrong = np.cumsum(guess.argmax(axis=1)[order] != y[order]) / taken
+    chance = 2 * np.sqrt(noise * (1 - noise) / taken)  # how far labels wrong by chance may lie above their rate
+    precision = 1 - np.maximum(wrong - noise - chance, 0.0) / max(1 - noise, 1e-9)
     good = np.flatnonzero(precision >= PRECISION)
-    model.level = float(min(max(guess.max(axis=1)[order][good[-1]], 0.5), HIGHEST_LEVEL)) if len(good) else HIGHEST_LEVEL
-    return model
+    model.level = float(max(sure[order][good[-1]], 0.5)) if len(good) else float(sure.max())
+
+
+def learn_usual(model: Model, parts: list[str], y: np.ndarray, others: list[str], told: np.ndarray) -> None:
+    """Log frequencies of n-grams by language from ``parts``; what is usual, from ``others`` whose language the model finds as told.
+
+    What is strange is learned by taking each segment's own language away: the
+    limit lies midway between what all but ``1 - WITHIN`` of the segments keep
+    below in their language and what ``WITHOUT`` of them exceed in the next.
+    """
+    size = len(CODES)
+    counts = np.zeros(BUCKETS * size)
+    for start in range(0, len(parts), 4096):
+        h, o = ngram_hashes(parts[start : start + 4096])
+        counts += np.bincount(h.astype(np.int64) * size + y[start + o], minlength=len(counts))
+    counts = counts.reshape(BUCKETS, size)
+    usual = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS)).astype(np.float32)
+    guess = model.predict(others)
+    right = np.flatnonzero(guess.argmax(axis=1) == told)
+    if len(right) < 2:
+        return
+    masked = guess[right].copy()
+    masked[np.arange(len(right)), told[right]] = -1.0
+    elsewhere = masked.argmax(axis=1)  # where a segment would go if its language were unknown
+    n, own_average, other_average = (np.zeros(len(right)) for _ in range(3))
+    for start in range(0, len(right), 4096):
+        some = slice(start, start + 4096)
+        h, o = ngram_hashes([others[i] for i in right[some]])
+        n[some] = np.bincount(o)
+        own_average[some] = np.bincount(o, usual[h, told[right][some][o]]) / n[some]
+        other_average[some] = np.bincount(o, usual[h, elsewhere[some][o]]) / n[some]
+    root = np.sqrt(np.minimum(n, NGRAMS_TOLD))
+    for k in range(size):
+        own = told[right] == k
+        own = own if own.sum() >= 20 else np.ones(len(right), dtype=bool)
+        mean = np.average(own_average[own], weights=root[own] ** 2)
+        model.norm[k] = mean, max(np.sqrt((((own_average[own] - mean) * root[own]) ** 2).mean()), LEAST_SPREAD)
+    model.usual = usual
+    within = np.quantile(model.strangeness(own_average, n, told[right]), WITHIN)
+    without = np.quantile(model.strangeness(other_average, n, elsewhere), 1 - WITHOUT)
+    model.strange = float(max(within, (within + without) / 2))
 
 
 def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole sentences of each text, or its segments where it has none; of more than ``SEGMENTS_PER_TEXT`` those of the smallest hashes."""
     for batch in batches:
-        parts, labels = [], []
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for part, whole in segments(text)[:40]:
-                if whole and letters(part) >= SEGMENT_LETTERS:
-                    parts.append(part)
-                    labels.append(CODES.index(label))
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(labels, pa.int32())], names=["part", "label"])
+        parts, labels, owners = [], [], []
+        for text, label, owner in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            every = segments(text)
+            own = [part for part, whole in every if whole] or [part for part, _ in every]
+            own = [part for part, size in zip(own, letter_counts(own, weighted=True), strict=True) if size >= SEGMENT_LETTERS]
+            if len(own) > SEGMENTS_PER_TEXT:
+                own = sorted(own, key=lambda part: zlib.crc32(part.encode("utf-8", "replace")))[:SEGMENTS_PER_TEXT]
+            parts += own
+            labels += [CODES.index(label)] * len(own)
+            owners += [owner] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(labels, pa.int32()), pa.array(owners, pa.int64())], names=["part", "label", "owner"])
 
 
 def learn(texts: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model:
-    """Train on ``texts`` (text, lang): at most ``sample_texts``, a language's share in
-    proportion to the root of its labelled rows."""
-    told = texts.select("text", canonical(F.col("lang")).alias("code")).filter("code is not null and text is not null")
-    have = {r["code"]: r["n"] for r in told.groupBy("code").agg(F.count("*").alias("n")).collect()}  # one row per language
+    """Train on ``texts`` (text, lang): at most ``sample_texts`` distinct texts, a
+    language's share in proportion to the root of its labelled distinct texts.
+
+    Copies of a text count as one, so no text that fills a table fills the
+    sample. A language takes the texts of the smallest hashes.
+    """
+    told = texts.select(canonical(F.col("lang")).alias("code"), F.col("text"), F.xxhash64("text", F.lit(17)).alias("h")).filter("code is not null and text is not null")
+    distinct = told.groupBy("code", "h").agg(F.lit(1).alias("one"))
+    have = {r["code"]: r["n"] for r in distinct.groupBy("code").agg(F.count("*").alias("n")).collect()}  # one row per language
     if not have:
         return train([], [])
     roots = sum(n**0.5 for n in have.values())
+    most = {code: max(int(sample_texts * n**0.5 / roots), 1) for code, n in have.items()}
+    # a little more than wanted by threshold, then exactly by rank within the sample
     part = F.lit(0.0)
     for code, n in have.items():
-        part = F.when(F.col("code") == code, F.lit(min(1.0, sample_texts * n**0.5 / roots / n))).otherwise(part)
-    place = F.shiftrightunsigned(F.xxhash64("text", F.lit(17)), 11) / F.lit(float(1 << 53))
-    sample = told.filter(place < part).mapInArrow(_learned, "part string, label int").toPandas()
-    return train(sample["part"].tolist(), sample["label"].tolist())
+        part = F.when(F.col("code") == code, F.lit(min(1.0, (most[code] + 5 * most[code] ** 0.5 + 5) / n))).otherwise(part)
+    bound = F.lit(0)
+    for code, n in most.items():
+        bound = F.when(F.col("code") == code, F.lit(n)).otherwise(bound)
+    place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    few = told.filter(place < part).groupBy("code", "h").agg(F.first("text").alias("text"))
+    few = few.withColumn("nr", F.row_number().over(Window.partitionBy("code").orderBy(F.shiftrightunsigned("h", 11), "h"))).filter(F.col("nr") <= bound)
+    sample = few.select("text", "code", "h").mapInArrow(_learned, "part string, label int, owner bigint").toPandas().sort_values(["owner", "part"], kind="stable")
+    return train(sample["part"].tolist(), sample["label"].tolist(), sample["owner"].tolist())
 
 
 TOLD = "main string, confidence double, langs array<string>, n_letters bigint"
 SEGMENT = "place int, segment string, whole boolean, lang string, confidence double"
 
 
-def _shares(parts: list[tuple[str, bool]], guess: np.ndarray, level: float) -> tuple[str | None, float, list[str]]:
+def _shares(model: Model, parts: list[tuple[str, bool]], guess: np.ndarray, strange: np.ndarray, size: np.ndarray) -> tuple[str | None, float, list[str]]:
     if not parts:
         return None, 0.0, []
-    size = np.array([letters(p) for p, _ in parts], dtype=float)
     whole = np.array([w for _, w in parts])
     weight = size * np.where(whole, 1.0, 0.25)
     if not weight.sum():
         return None, 0.0, []
-    mean = (guess * weight[:, None]).sum(axis=0) / weight.sum()
-    main = int(mean.argmax())
-    clear = whole & (size >= SEGMENT_LETTERS) & (guess.max(axis=1) >= level)
+    accepted = model.accepted(guess, strange)
+    clear = whole & (size >= SEGMENT_LETTERS) & accepted
     found = {int(k) for k in guess[clear].argmax(axis=1)}
-    share = float(guess[(guess.argmax(axis=1) == main)].max()) if (guess.argmax(axis=1) == main).any() else float(mean[main])
-    if clear.any() and main not in found:  # only headings or names speak for it
-        main = max(found, key=lambda k: mean[k])
-        share = float(mean[main])
+    some = accepted if accepted.any() else strange < model.strange  # strange segments speak for no language
+    mean = (guess * (weight * some)[:, None]).sum(axis=0) / max((weight * some).sum(), 1e-9)
+    main = max(found, key=lambda k: mean[k]) if found else int(mean.argmax())
+    share = float(mean[main])
+    if not found and share < model.level:
+        return None, share, []
     return CODES[main], share, sorted({CODES[k] for k in found} | {CODES[main]})
 
 
@@ -287,10 +434,11 @@ def identify(texts: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     ``main`` is the language of most of the text, ``langs`` those of its whole
     sentences and the main one. Null, empty and short texts (fewer than
-    ``LEAST_LETTERS`` letters) have no language and an empty list. Columns of
-    these names are replaced. Rows that repeat stay; whole texts are read.
+    ``LEAST_LETTERS`` letters), and those the model rejects, have no language
+    and an empty list. Columns of these names are replaced. Rows that repeat
+    stay; whole texts are read.
     """
-    shipped = texts.sparkSession.sparkContext.broadcast(model)  # a table of fixed size, 3 MB
+    shipped = texts.sparkSession.sparkContext.broadcast(model)  # two tables of fixed size, 6 MB
     kept = [c for c in texts.columns if c not in (text, "main", "confidence", "langs", "n_letters")]
     source = texts.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = ", ".join([*[f"`{c}` {t}" for c, t in texts.select(*[f"`{c}`" for c in kept]).dtypes], TOLD])
@@ -301,12 +449,15 @@ def identify(texts: DataFrame, model: Model, text: str = "text") -> DataFrame:
             values = batch.column(len(kept)).to_pylist()
             for start in range(0, len(values), 1000):
                 some = values[start : start + 1000]
-                count = [len(LETTER.findall(v)) if v else 0 for v in some]
+                count = letter_counts([v or "" for v in some])
                 parts = [segments(v) if n >= LEAST_LETTERS else [] for v, n in zip(some, count, strict=True)]
-                guess = model.predict([p for ps in parts for p, _ in ps])
+                every = [p for ps in parts for p, _ in ps]
+                guess, strange = model.judge(every)
+                size = letter_counts(every, weighted=True)
                 told, at = [], 0
                 for ps in parts:
-                    told.append(_shares(ps, guess[at : at + len(ps)], model.level))
+                    own = slice(at, at + len(ps))
+                    told.append(_shares(model, ps, guess[own], strange[own], size[own]))
                     at += len(ps)
                 here = batch.slice(start, len(some))
                 columns = [
@@ -323,7 +474,7 @@ def identify(texts: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def identify_segments(texts: DataFrame, model: Model, key: str | list[str], text: str = "text") -> DataFrame:
-    """One row per segment: key column or columns, place, segment, whole, lang (null below the level), confidence."""
+    """One row per segment: key column or columns, place, segment, whole, lang (null where the model rejects), confidence."""
     shipped = texts.sparkSession.sparkContext.broadcast(model)
     keys = [key] if isinstance(key, str) else key
     kinds = dict(texts.dtypes)
@@ -338,9 +489,9 @@ def identify_segments(texts: DataFrame, model: Model, key: str | list[str], text
                 for i, value in enumerate(some.column(len(keys)).to_pylist()):
                     for k, (p, w) in enumerate(segments(value) if value else []):
                         owner.append(i), place.append(k), part.append(p), whole.append(w)
-                guess = model.predict(part)
-                best, sure = guess.argmax(axis=1), guess.max(axis=1) if len(part) else []
-                lang = [CODES[b] if s >= model.level else None for b, s in zip(best, sure, strict=True)]
+                guess, strange = model.judge(part)
+                sure = guess.max(axis=1, initial=0.0)
+                lang = [CODES[b] if fits else None for b, fits in zip(guess.argmax(axis=1), model.accepted(guess, strange), strict=True)]
                 columns = [
                     *[some.column(i).take(pa.array(owner, pa.int32())) for i in range(len(keys))],
                     pa.array(place, pa.int32()),

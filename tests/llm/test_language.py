@@ -11,6 +11,8 @@ SAMPLES = {
     "ja": ["彼女は去年、会社全体のための手引きを書きました。", "彼らは友人と一緒に家を移りました。", "作業は大きなモデルの検証を含んでいました。"],
 }
 
+LONG = " ".join(SAMPLES["de"] * 400)
+
 
 @pytest.fixture(scope="module")
 def model():
@@ -37,7 +39,7 @@ def test_segments():
 
 def test_segments_by_language(spark, model):
     mixed = SAMPLES["en"][0] + " " + SAMPLES["de"][1] + "\n" + SAMPLES["ja"][0]
-    rows = [(1, mixed, "a"), (2, SAMPLES["es"][0], "a"), (3, None, "a"), (4, "", "a"), (5, "Go, R.", "a"), (6, SAMPLES["de"][0] * 400, "a"), (6, SAMPLES["de"][0] * 400, "a")]
+    rows = [(1, mixed, "a"), (2, SAMPLES["es"][0], "a"), (3, None, "a"), (4, "", "a"), (5, "Go, R.", "a"), (6, LONG, "a"), (6, LONG, "a")]
     df = spark.createDataFrame(rows, "id bigint, text string, main string")
     out = lang.identify(df, model)
     got = {r.id: r for r in out.collect()}
@@ -71,3 +73,50 @@ def test_cases(spark):
 def test_training_edges():
     assert lang.train([], []).level > 1
     assert lang.train(["a b c d"], [1]).predict(["x"]).argmax() == 1
+
+
+def test_one_text_on_half_the_rows_does_not_fill_the_sample(spark):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike".split()
+    texts = ["The work covered testing of the large models and the team was happy."] * 3000
+    texts += [f"The team wrote the {words[i % 13]} {words[i // 13 % 13]} {words[i // 169 % 13]} handbook last year." for i in range(1500)]
+    df = spark.createDataFrame([(t, "en" if i % 2 else "de") for i, t in enumerate(texts)], "text string, lang string")
+    seen = []
+    keep = lang.train
+    lang.train = lambda parts, labels, owners: seen.append(owners) or keep([], [])
+    try:
+        lang.learn(df, sample_texts=300)
+    finally:
+        lang.train = keep
+    assert 200 <= len(seen[0]) <= 300 and len(set(seen[0])) >= len(seen[0]) - 1
+
+
+def test_segments_of_a_long_text_come_from_all_of_it(spark):
+    text = " ".join(f"Sentence number {i} tells of another long morning." for i in range(500))
+    df = spark.createDataFrame([(text, "en", 1)], "text string, code string, h bigint")
+    parts = [r.part for r in df.mapInArrow(lang._learned, "part string, label int, owner bigint").collect()]
+    at = sorted(int(p.split()[2]) for p in parts)
+    assert len(parts) == lang.SEGMENTS_PER_TEXT and at[0] < 100 and at[-1] > 400
+
+
+def test_other_languages_are_rejected(spark, model):
+    foreign = [
+        "A könyvtár új épülete tavasszal nyílt meg a város látogatói előtt.",
+        "Kirjasto avattiin viime keväänä ja se on ollut suosittu kävijöiden keskuudessa.",
+        "Kütüphane geçen bahar açıldı ve ziyaretçiler tarafından çok sevildi.",
+    ]
+    own = SAMPLES["en"] + SAMPLES["de"] + SAMPLES["es"] + SAMPLES["ja"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(foreign + own)], "id int, text string")
+    got = {r.id: (r.main, r.langs) for r in lang.identify(df, model).collect()}
+    assert all(got[i] == (None, []) for i in range(len(foreign)))
+    assert all(got[i][0] is not None for i in range(len(foreign), len(got)))
+    assert lang.label_cases(lang.identify(df.withColumn("rec_kind", F.lit("cv")).withColumn("rec_id", F.col("id")).withColumn("lang", F.lit(None).cast("string")), model)).count() == len(own)
+
+
+def test_wrong_labels_are_not_held_against_the_model():
+    draw = np.random.default_rng(1)
+    guess = np.full((2000, len(lang.CODES)), 0.001)
+    y = draw.integers(0, len(lang.CODES), 2000)
+    guess[np.arange(2000), y] = 0.9
+    wrong = draw.random(2000) < 0.1
+    y = np.where(wrong, (y + 1) % len(lang.CODES), y)
+    assert 0.07 < lang.wrong_labels(guess, y) < 0.13
