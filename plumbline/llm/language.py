@@ -80,9 +80,14 @@ def _every(pattern: str) -> str:
 
 
 @cache
-def hidden() -> re.Pattern:
-    """Control and format characters but line ends and tabs."""
-    return re.compile("[" + re.escape(_every(r"(?![\n\r\t])[\p{Cf}\p{Cc}]")) + "]")
+def hidden() -> dict[int, None]:
+    """Control and format characters but line ends and tabs, as a table that deletes them."""
+    return dict.fromkeys(map(ord, _every(r"(?![\n\r\t])[\p{Cf}\p{Cc}]")))
+
+
+@cache
+def hidden_characters() -> frozenset[str]:
+    return frozenset(map(chr, hidden()))
 
 
 @cache
@@ -107,7 +112,8 @@ def segments(text: str) -> list[tuple[str, bool]]:
     plain = text if text.isascii() else unicodedata.normalize("NFC", text)
     if MARKS.search(plain):
         plain = MARKUP.sub(" ", plain)
-    plain = hidden().sub("", plain)
+    if not hidden_characters().isdisjoint(plain):
+        plain = plain.translate(hidden())
     bare = QUOTED.sub(" ", plain) if OPENERS.search(plain) else plain
     if len(bare) < len(plain) and letter_counts([bare])[0] < LEAST_LETTERS:
         bare = plain
