@@ -8,24 +8,36 @@ from dataclasses import dataclass
 
 import regex
 
-#: Words, as typed in full or short, of each kind of body.
+#: Words of each kind of body, in full and as dictionaries shorten them. Other spellings and kinds are
+#: learned from the names (variants.learn_vocabulary).
 KINDS = {
-    "university": "university univ universidad universite universitat universita uni",
-    "institute": "institute inst institut instituto",
-    "hospital": "hospital hosp hosptal krankenhaus",
-    "laboratory": "laboratory laboratories lab labs",
-    "observatory": "observatory obs observatorium",
-    "bank": "bank bnk banco banque",
-    "consulting": "consulting cons consultancy",
-    "technologies": "technologies technology tech",
-    "robotics": "robotics robotik robot",
-    "college": "college",
-    "software": "software sw",
-    "systems": "systems sys",
-    "analytics": "analytics analytix",
-    "digital": "digital dig",
-    "infotech": "infotech",
-    "data services": "dataservices",
+    "university": ["university", "univ", "universidad", "universite", "universitat", "universita", "uni"],
+    "institute": ["institute", "inst", "institut", "instituto"],
+    "hospital": ["hospital", "hosp", "krankenhaus"],
+    "laboratory": ["laboratory", "laboratories", "lab", "labs"],
+    "observatory": ["observatory", "obs", "observatorium"],
+    "bank": ["bank", "banco", "banque"],
+    "consulting": ["consulting", "cons", "consultancy"],
+    "technologies": ["technologies", "technology", "tech"],
+    "robotics": ["robotics"],
+    "college": ["college"],
+    "software": ["software"],
+    "systems": ["systems", "sys"],
+    "analytics": ["analytics"],
+    "digital": ["digital"],
+    "infotech": ["infotech"],
+    "data services": ["dataservices"],
+    "academy": ["academy", "akademie", "academia"],
+    "agency": ["agency", "agentur", "agencia"],
+    "association": ["association", "assoc", "verband"],
+    "clinic": ["clinic", "klinik", "clinica"],
+    "council": ["council"],
+    "foundation": ["foundation", "stiftung", "fundacion"],
+    "insurance": ["insurance", "versicherung"],
+    "library": ["library", "bibliothek", "biblioteca"],
+    "ministry": ["ministry", "ministerium", "ministerio"],
+    "museum": ["museum", "museo"],
+    "society": ["society"],
 }
 #: Words that qualify a kind or a legal form and name nobody.
 FILLERS = set(
@@ -40,12 +52,23 @@ NOBODY = set(
 )
 #: Words that open the name of a department.
 DEPARTMENTS = {"dept", "department", "faculty", "school", "division", "departamento", "abteilung"}
-WORD_KIND = {w: kind for kind, words in KINDS.items() for w in words.split()}
+WORD_KIND = {w: kind for kind, words in KINDS.items() for w in words}
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
 TWO = regex.compile(r"\s(?:and|und|y|et|&|\+)\s|\s/\s|;|\s\|\s")
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """What words mean in names: the kind of body they tell, or nothing."""
+
+    kinds: dict[str, str]
+    fillers: frozenset[str]
+
+
+PLAIN = Vocabulary(WORD_KIND, frozenset(FILLERS))
+
+
 def fold(text: str) -> str:
     """Letters without accents or ligatures, in lower case."""
     plain = unicodedata.normalize("NFKD", text)
@@ -64,13 +87,13 @@ class Name:
 NO_NAME = Name(None, (), False, None, False)
 
 
-def _words(part: str) -> list[tuple[str, bool]]:
+def _words(part: str, known: Vocabulary = PLAIN) -> list[tuple[str, bool]]:
     """(folded word, followed by a full stop) of a part; words glued in camel case come apart."""
     out = []
     for m in WORD.finditer(part):
         dot = part[m.end() : m.end() + 1] == "."
         whole = fold(m.group())
-        if whole in FILLERS or whole in WORD_KIND:
+        if whole in known.fillers or whole in known.kinds:
             out.append((whole, dot))
             continue
         pieces = CAMEL.sub(" ", m.group()).split(" ")
@@ -78,22 +101,22 @@ def _words(part: str) -> list[tuple[str, bool]]:
     return out
 
 
-def _split(part: str) -> tuple[str | None, list[tuple[str, bool]]]:
+def _split(part: str, known: Vocabulary) -> tuple[str | None, list[tuple[str, bool]]]:
     kind, core = None, []
-    words = _words(part)
+    words = _words(part, known)
     text = " ".join(w for w, _ in words)
     if "info tech" in text or "data services" in text:
         kind = "infotech" if "info tech" in text else "data services"
         words = [w for w in words if w[0] not in ("info", "tech", "data", "services")]
     for word, dot in words:
-        if word in WORD_KIND:
-            kind = kind or WORD_KIND[word]
-        elif word not in FILLERS:
+        if word in known.kinds:
+            kind = kind or known.kinds[word]
+        elif word not in known.fillers:
             core.append((word, dot))
     return kind, core
 
 
-def parse_name(text: str | None) -> Name:
+def parse_name(text: str | None, known: Vocabulary = PLAIN) -> Name:
     """The one organisation an entry names; ``found`` is False for none or two."""
     if text is None or fold(text).strip() in NOBODY or not WORD.search(text):
         return NO_NAME
@@ -111,15 +134,15 @@ def parse_name(text: str | None) -> Name:
     elif dash:
         nick, body = fold(dash.group(1)), body[: dash.start()]
     parts = [p for p in body.split(",") if WORD.search(p)]
-    parts = [p for i, p in enumerate(parts) if not (i + 1 < len(parts) and _words(p)[0][0] in DEPARTMENTS)]
+    parts = [p for i, p in enumerate(parts) if not (i + 1 < len(parts) and _words(p, known)[0][0] in DEPARTMENTS)]
     body = ",".join(parts)
     if TWO.search(body):
-        halves = [_split(h) for h in TWO.split(body) if WORD.search(h)]
+        halves = [_split(h, known) for h in TWO.split(body) if WORD.search(h)]
         if sum(bool(core) for _, core in halves) > 1:
             return NO_NAME
     kind, core = None, []
     for part in parts:
-        own_kind, own = _split(part)
+        own_kind, own = _split(part, known)
         if own and not core:
             core = own
             kind = kind or own_kind
@@ -134,6 +157,7 @@ def parse_name(text: str | None) -> Name:
     return Name(kind, words, core[0][1] and len(words) > 1, nick, True)
 
 
+VOWELS = "aeiou"
 #: Letters that sound alike.
 SOUNDS = str.maketrans({"c": "k", "q": "k", "x": "s", "z": "s", "y": "i", "w": "v", "d": "t", "b": "p", "g": "k", "j": "k", "m": "n"})
 
@@ -191,9 +215,6 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
-VOWELS = "aeiou"
-
-
 def opening(word: str, vowels: int = 2) -> str:
     """The word up to its second vowel."""
     for i, ch in enumerate(word):
@@ -205,15 +226,43 @@ def opening(word: str, vowels: int = 2) -> str:
 
 
 def short_forms(core: tuple[str, ...]) -> list[str]:
-    """Short forms people make of a name: the words' openings put together, and of three words or more the initials."""
+    """Short forms people make of a name: the openings of all words or of the first two put together, and of three words or more the initials."""
     if len(core) < 2 or any(w.isdigit() for w in core):
         return []
-    forms = ["".join(opening(w) for w in core[:2])]
+    forms = ["".join(opening(w) for w in core)]
     if len(core) > 2:
-        forms.append("".join(w[0] for w in core))
+        forms += ["".join(opening(w) for w in core[:2]), "".join(w[0] for w in core)]
     return forms
 
 
+def _consonants(word: str) -> str:
+    return "".join(ch for ch in word if ch not in VOWELS)
+
+
+def _within(short: str, long: str) -> bool:
+    """The letters of ``short`` stand in ``long`` in that order."""
+    rest = iter(long)
+    return all(ch in rest for ch in short)
+
+
+def _stands_for(word: str, full: str) -> bool:
+    """The word may be a short or misspelt way to write ``full``: its beginning, its consonants, or a slip or two away."""
+    if not word or word[0] != full[0]:
+        return False
+    stem = word[:-1] if word.endswith("s") and len(word) > 3 else word
+    if len(stem) >= 3 and full.startswith(stem):
+        return True
+    if len(word) >= 2 and word == _consonants(word) and _within(word, _consonants(full)):
+        return True
+    return edits(word, full) <= (2 if len(word) >= 7 else 1 if len(word) >= 5 else 0)
+
+
+def kind_of_word(word: str) -> str | None:
+    """The one kind a word may stand for; None for none or several."""
+    kinds = {kind for full, kind in WORD_KIND.items() if _stands_for(word, full)}
+    return kinds.pop() if len(kinds) == 1 else None
+
+
 def _near(a: str, b: str, most: int) -> float:
     """Jaro-Winkler of two spellings of one word, 0 where they are too far apart."""
     if a == b:

@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_matches": matching.p2_matches,
         "p3_found": variants.p3_found,
         "p3_groups": variants.p3_groups,
+        "p3_nicknames": variants.p3_nicknames,
         "p3_totals": variants.p3_totals,
         "p4_found": consensus.p4_found,
         "p4_items": consensus.p4_items,

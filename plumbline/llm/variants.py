@@ -1,9 +1,14 @@
 """Problem 3: spellings of names that mean the same organisation.
 
+What the words of names mean is learned first: a word in many names, no one
+other word of a proper name with it in most of them, tells a kind of body or
+nothing. It tells a known kind where it is a short or misspelt way to write it,
+nothing where it stands beside words of kinds, else a kind of its own.
+
 Entries are parsed into the kind of body and the proper name; alike parses are
 one name from there on. Names share blocks by phonetic codes of their sorted
-words, candidates are compared with Jaro-Winkler and a table of short forms
-(those that entries give themselves, and those made from a name's openings),
+words, candidates are compared with Jaro-Winkler and a nickname table (short
+forms that entries give beside a name, and those made from a name's openings),
 and accepted pairs form connected components. Bodies of different kinds stay
 apart: a name without a kind, or cut short, joins a component only where just
 one fits.
@@ -17,14 +22,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.names import blocking_keys, parse_name, short_forms, similarity
+from plumbline.llm.names import FILLERS, PLAIN, WORD_KIND, Vocabulary, _words, blocking_keys, kind_of_word, parse_name, short_forms, similarity
 from plumbline.session import materialize, release
 
 ACCEPT = 0.85
-ROUNDS = 30
+MOST_ROUNDS = 200  # rounds grow with the logarithm of the longest path
+WORDS_OF_A_NAME = 16  # longer entries do not teach what words mean; they are parsed like all
+LEAST_NAMES = 5
+LEAST_SHARE = 0.001
+ONE_PROPER_NAME = 0.1
+BESIDE_KINDS = 0.2
+SPLIT_BLOCK = 2_000
+
 
+def learn_vocabulary(names: DataFrame, text: str) -> Vocabulary:
+    """The vocabulary of distinct names: :data:`~plumbline.llm.names.PLAIN` and what their words tell.
+
+    Words of at least ``LEAST_SHARE`` of the names (and ``LEAST_NAMES``) are
+    considered; with at most ``WORDS_OF_A_NAME`` words in a name there are at
+    most ``WORDS_OF_A_NAME / LEAST_SHARE`` of them, however many names.
+    """
 
-def parsed(rows: DataFrame, key: str, text: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for value in batch.column(0).to_pylist():
+                words = sorted({w for w, _ in _words(value.split(",")[0])})
+                if 0 < len(words) <= WORDS_OF_A_NAME:
+                    told.append(words)
+            yield pa.RecordBatch.from_arrays([pa.array(told, pa.list_(pa.string()))], names=["words"])
+
+    distinct = names.select(F.col(f"`{text}`").cast("string").alias("t")).filter("t is not null").distinct()
+    words = materialize(distinct.mapInArrow(run, "words array<string>"), "words")
+    total = words.count()
+    least = max(LEAST_NAMES, LEAST_SHARE * total)
+    counted = words.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    known = [*WORD_KIND, *FILLERS]
+    frequent = counted.filter(~F.col("w").isin(known))
+    beside = F.exists("words", lambda x: x.isin(list(WORD_KIND)))
+    near = words.select("words", beside.alias("beside"), F.explode("words").alias("w")).join(F.broadcast(frequent), "w")  # a bounded number of words
+    pairs = near.select("w", F.explode("words").alias("c")).filter(F.col("w") != F.col("c")).filter(~F.col("c").isin(known)).groupBy("w", "c").agg(F.count("*").alias("k"))
+    tops = pairs.groupBy("w").agg(F.max("k").alias("top"))
+    told = near.groupBy("w", "n").agg(F.count_if("beside").alias("beside")).join(tops, "w", "left").collect()
+    kinds, fillers = dict(PLAIN.kinds), set(PLAIN.fillers)
+    for row in sorted(told):
+        if (row["top"] or 0) > max(2, ONE_PROPER_NAME * row["n"]):
+            continue  # a proper name's word, as it stands with one other
+        kind = kind_of_word(row["w"])
+        if kind is not None:
+            kinds[row["w"]] = kind
+        elif row["beside"] > BESIDE_KINDS * row["n"]:
+            fillers.add(row["w"])
+        elif row["w"].isalpha():
+            kinds[row["w"]] = row["w"]
+    return Vocabulary(kinds, frozenset(fillers))
+
+
+def parsed(rows: DataFrame, key: str, text: str, vocabulary: Vocabulary = PLAIN) -> DataFrame:
     """key, kind, core, weak, nick of the entries that name one organisation."""
     kind = dict(rows.dtypes)[key]
 
@@ -32,7 +86,7 @@ def parsed(rows: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             owner, kinds, cores, weak, nicks = [], [], [], [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
-                name = parse_name(value)
+                name = parse_name(value, vocabulary)
                 if name.found:
                     owner.append(i)
                     kinds.append(name.kind)
@@ -69,14 +123,47 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         owner, forms = [], []
-        for i, (core, nick) in enumerate(zip(batch.column("core").to_pylist(), batch.column("nick").to_pylist(), strict=True)):
-            for form in {*short_forms(tuple(core.split(" "))), *([nick] if nick else [])}:
-                owner.append(i)
-                forms.append(form)
+        for i, core in enumerate(batch.column("core").to_pylist()):
+            own = short_forms(tuple(core.split(" ")))
+            owner += [i] * len(own)
+            forms += own
         taken = batch.select(["name", "kind"]).take(pa.array(owner, pa.int32()))
         yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(forms, pa.string())], names=["name", "kind", "form"])
 
 
+def block_pairs(keyed: DataFrame, left: str | None = None, right: str | None = None) -> DataFrame:
+    """(a, b): distinct pairs of ids that share a block. ``keyed``: id, block (a hash) and, with ``left`` and ``right``, side.
+
+    Without sides the pairs are of one table, a < b. A block of more than
+    ``SPLIT_BLOCK`` rows is cut into parts by hash; each part of the left side
+    meets each part of the right in a cell of its own, so no task gets a whole
+    large block and every pair meets once. Only hashes and ids are shuffled.
+    """
+    sizes = keyed.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT_BLOCK)
+    parts = sizes.select("block", F.ceil(F.col("n") / SPLIT_BLOCK).cast("int").alias("parts"))
+    split = keyed.join(parts, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one, two = (split, split) if left is None else (split.filter(F.col("side") == left), split.filter(F.col("side") == right))
+    one = one.select("block", own.alias("i"), every.alias("j"), F.col("id").alias("a"))
+    two = two.select("block", every.alias("i"), own.alias("j"), F.col("id").alias("b"))
+    pairs = one.join(two, ["block", "i", "j"]).select("a", "b")
+    return (pairs.filter("a < b") if left == right else pairs).distinct()
+
+
+def nickname_table(entries: DataFrame) -> DataFrame:
+    """(name, kind, form, given): short forms of the names that are not weak; ``given`` ones stand beside the name in some entry.
+
+    ``entries``: name, kind, core, weak, nick. A form that entries give to one
+    name is taken for every name of that core and kind.
+    """
+    names = entries.filter("not weak").groupBy("name").agg(F.first("kind").alias("kind"), F.first("core").alias("core"))
+    given = entries.filter("not weak and nick is not null").select("name", "kind", F.col("nick").alias("form")).distinct()
+    made = names.mapInArrow(_forms, "name string, kind string, form string")
+    both = given.withColumn("given", F.lit(True)).unionByName(made.withColumn("given", F.lit(False)))
+    return both.groupBy("name", "kind", "form").agg(F.bool_or("given").alias("given"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected edges (a, b): the smallest node of each component.
 
@@ -87,7 +174,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = materialize(both, "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     held = labels
-    for _ in range(ROUNDS):
+    for turn in range(MOST_ROUNDS + 1):
+        if turn == MOST_ROUNDS:
+            raise RuntimeError(f"components did not settle within {MOST_ROUNDS} rounds")
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("new"))
         target = labels.select(F.col("node").alias("new"), F.col("component").alias("next"))
@@ -108,18 +197,18 @@ def name_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
     give no row; a name alike to no other is an organisation of its own.
     Repeated entries share their organisation. Extra columns are not read.
     """
-    entries = materialize(parsed(rows, key, text), "parsed").withColumn(
+    vocabulary = learn_vocabulary(rows, text)
+    entries = materialize(parsed(rows, key, text, vocabulary), "parsed").withColumn(
         "name", F.concat_ws("|", F.coalesce("kind", F.lit("")), "core", F.when(F.col("weak"), "w").otherwise(""))
     )
     names = entries.groupBy("name").agg(F.first("kind").alias("kind"), F.first("core").alias("core"), F.first("weak").alias("weak"), F.count("*").alias("entries"))
-    names = materialize(names, "names")
-    nicks = entries.filter("nick is not null").select("name", "nick").distinct()
+    names = materialize(names.withColumn("id", F.monotonically_increasing_id()), "names")
 
-    blocks = names.select("name", "kind", "core", "weak").mapInArrow(_keys, "name string, kind string, core string, weak boolean, block string")
-    left = blocks.select("block", *[F.col(c).alias(f"{c}_a") for c in ("name", "kind", "core", "weak")])
-    right = blocks.select("block", *[F.col(c).alias(f"{c}_b") for c in ("name", "kind", "core", "weak")])
+    keyed = names.select("id", "core").mapInArrow(_keys, "id bigint, core string, block string").select("id", F.xxhash64("block").alias("block"))
     fits = (F.col("kind_a") == F.col("kind_b")) | F.col("kind_a").isNull() | F.col("kind_b").isNull()
-    pairs = left.join(right, "block").filter((F.col("name_a") < F.col("name_b")) & fits).drop("block").distinct()
+    one = names.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("name", "kind", "core", "weak")])
+    two = names.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("name", "kind", "core", "weak")])
+    pairs = block_pairs(keyed).join(one, "a").join(two, "b").filter(fits).drop("a", "b")
     schema = ", ".join(f"{c} {t}" for c, t in pairs.dtypes) + ", score double"
     alike = pairs.mapInArrow(_scores, schema).filter(F.col("score") >= ACCEPT)
     alike = materialize(alike, "alike")
@@ -135,8 +224,7 @@ def name_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
         F.when(F.col("weak_a"), F.col("name_b")).otherwise(F.col("name_a")).alias("node"),
         "score",
     )
-    forms = names.filter("not weak").join(nicks, "name", "left").select("name", "kind", "core", "nick").mapInArrow(_forms, "name string, kind string, form string")
-    forms = forms.unionAll(nicks.join(names.filter("not weak").select("name", "kind"), "name").select("name", "kind", F.col("nick").alias("form"))).distinct()
+    forms = nickname_table(entries).select("name", "kind", "form")
     single = names.filter("weak and not contains(core, ' ')").select(F.col("name").alias("weak_name"), F.col("kind").alias("weak_kind"), F.col("core").alias("form"))
     by_form = single.join(forms, "form").filter("weak_kind is null or kind is null or weak_kind = kind").select("weak_name", F.col("name").alias("node"), F.lit(0.95).alias("score"))
     links = by_spelling.unionByName(by_form).join(settled.select("node", "component"), "node")
@@ -173,6 +261,14 @@ def p3_groups(spark, sf_dir: str) -> DataFrame:
     return affiliation_groups(spark, sf_dir).withColumnRenamed("key", "affiliation_id")
 
 
+def p3_nicknames(spark, sf_dir: str) -> DataFrame:
+    """The nickname table of the affiliations: kind, form, whether some entry gives it, and of how many names."""
+    rows = spark.read.parquet(f"{sf_dir}/affiliations.parquet").select("affiliation_id", "affiliation")
+    told = materialize(parsed(rows, "affiliation_id", "affiliation", learn_vocabulary(rows, "affiliation")), "parsed")
+    named = told.withColumn("name", F.concat_ws("|", F.coalesce("kind", F.lit("")), "core"))
+    return nickname_table(named).groupBy("kind", "form").agg(F.bool_or("given").alias("given"), F.count("*").alias("names"))
+
+
 def p3_totals(spark, sf_dir: str) -> DataFrame:
     """Entries and summed counts of every organisation."""
     rows = spark.read.parquet(f"{sf_dir}/affiliations.parquet").select(F.col("affiliation_id").alias("key"), "count")

@@ -9,10 +9,10 @@ from plumbline.llm.names import jaro_winkler, parse_name, similarity
     [
         ("Inst. for Applied Computing, Fujachár Máhufu", "institute", ("fujachar", "mahufu")),
         ("Dept. of Informatics, Hefanir Godutrel University", "university", ("hefanir", "godutrel")),
-        ("JapuduZibovux  Bnk", "bank", ("japudu", "zibovux")),
+        ("JapuduZibovux  Bank", "bank", ("japudu", "zibovux")),
         ("Jasemil Roripar Robotics G.m.b.H., Cork", "robotics", ("jasemil", "roripar")),
         ("Natl. Manodix Romihe Obs.", "observatory", ("manodix", "romihe")),
-        ("Bokefa Nejutax Robotik GmbH", "robotics", ("bokefa", "nejutax")),
+        ("Bokefa Nejutax Robotics GmbH", "robotics", ("bokefa", "nejutax")),
     ],
 )
 def test_parsing(text, kind, core):
@@ -75,3 +75,43 @@ def test_kinds_stay_apart(spark):
     got = variants.name_groups(spark.createDataFrame(list(enumerate(rows)), "i bigint, t string"), "i", "t").collect()
     assert len({r.organisation for r in got if r.key < 2}) == 2
     assert {r.organisation for r in got if r.key >= 2}.isdisjoint({r.organisation for r in got if r.key < 2})
+
+
+@pytest.mark.parametrize("word, kind", [("bnk", "bank"), ("hosptal", "hospital"), ("analytix", "analytics"), ("robotik", "robotics"), ("sw", "software"), ("dig", "digital"), ("clinics", "clinic"), ("nomobrul", None), ("co", None), ("s", None)])
+def test_words_that_stand_for_kinds(word, kind):
+    assert names.kind_of_word(word) == kind
+
+
+def test_vocabulary_is_learned(spark):
+    import itertools
+
+    starts = ["".join(p) for p in itertools.product("bdfglm", "aou", "krst", "ei")]
+    proper = [f"{starts[i % 144]}nax {starts[i * 7 % 144]}vol" for i in range(300)]
+    endings = ["Hosptal", "Bank", "Dispensary", "Hospital Zweig"]
+    rows = [f"{p} {endings[i % 4]}" for i, p in enumerate(proper)] + [f"silver loom {i}" for i in range(80)] + [None, "", "word " * 5000]
+    known = variants.learn_vocabulary(spark.createDataFrame([(r,) for r in rows], "t string"), "t")
+    assert known.kinds["hosptal"] == "hospital" and known.kinds["dispensary"] == "dispensary" and "zweig" in known.fillers
+    assert not {"silver", "loom", "banax"} & (set(known.kinds) | known.fillers)
+    assert variants.learn_vocabulary(spark.createDataFrame([], "t string"), "t") == names.PLAIN
+
+
+def test_split_blocks_give_the_same_pairs(spark, monkeypatch):
+    rows = [(i, i % 3, "l" if i % 2 else "r") for i in range(60)] + [(0, 1, "r"), (100, 9, "l")]
+    keyed = spark.createDataFrame(rows, "id bigint, block bigint, side string")
+    plain = lambda: (sorted(map(tuple, variants.block_pairs(keyed.drop("side")).collect())), sorted(map(tuple, variants.block_pairs(keyed, "l", "r").collect())))
+    whole = plain()
+    monkeypatch.setattr(variants, "SPLIT_BLOCK", 4)
+    assert plain() == whole and len(whole[0]) > 500
+
+
+def test_nicknames(spark):
+    rows = [("bank|a b", "bank", "jojamor nomobrul", False, "jono"), ("bank|a b", "bank", "jojamor nomobrul", False, None), ("c", None, "x", True, "y")]
+    got = {(r.form, r.given) for r in variants.nickname_table(spark.createDataFrame(rows, "name string, kind string, core string, weak boolean, nick string")).collect()}
+    assert got == {("jono", True), ("jojanomo", False)}
+
+
+def test_components_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(variants, "MOST_ROUNDS", 1)
+    edges = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(60)], "a string, b string")
+    with pytest.raises(RuntimeError):
+        variants.connected_components(edges)
