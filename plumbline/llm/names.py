@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import regex
 
@@ -263,11 +264,26 @@ def kind_of_word(word: str) -> str | None:
     return kinds.pop() if len(kinds) == 1 else None
 
 
+@lru_cache(1 << 16)
+def _letters(word: str) -> int:
+    """The set of a word's letters, as bits; letters beyond 64 share bits."""
+    bits = 0
+    for ch in word:
+        bits |= 1 << (ord(ch) & 63)
+    return bits
+
+
+def _far(a: str, b: str, most: int) -> bool:
+    """More than ``most`` edits apart for sure: by length, or by letters that only one of them has."""
+    one, two = _letters(a), _letters(b)
+    return abs(len(a) - len(b)) > most or (one & ~two).bit_count() > most or (two & ~one).bit_count() > most
+
+
 def _near(a: str, b: str, most: int) -> float:
     """Jaro-Winkler of two spellings of one word, 0 where they are too far apart."""
     if a == b:
         return 1.0
-    if abs(len(a) - len(b)) > most or min(len(a), len(b)) < 4:
+    if min(len(a), len(b)) < 4 or _far(a, b, most):
         return 0.0
     score = jaro_winkler(a, b)
     return score if score >= 0.8 and edits(a, b) <= most else 0.0
@@ -276,7 +292,7 @@ def _near(a: str, b: str, most: int) -> float:
 def _cut_near(x: str, y: str) -> bool:
     """The shorter word is the misspelt beginning of the longer one."""
     short, long = sorted((x, y), key=len)
-    return edits(short, long[: len(short)]) == 1 and short.isalpha()
+    return not _far(short, long[: len(short)], 1) and edits(short, long[: len(short)]) == 1 and short.isalpha()
 
 
 DIGITS = regex.compile(r"\D+")
@@ -298,6 +314,8 @@ def similarity(a: tuple[str, ...], b: tuple[str, ...], most: int = 2) -> float:
         for own, other in orders:
             scores = []
             for x, y in zip(own, other, strict=True):
+                if scores and not scores[-1]:
+                    break  # one word that differs is enough
                 if x != y and min(len(x), len(y)) <= 4 and (x.startswith(y) or y.startswith(x)) and len(a) > 1:
                     scores.append(0.9)
                 elif x[0] == y[0] and min(len(x), len(y)) in (3, 4) and abs(len(x) - len(y)) > 1 and _cut_near(x, y):
