@@ -55,3 +55,31 @@ def test_finds_planted_cuts(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert tr.truncated(df).count() == 0
+
+
+def test_ratios_rise_and_find_the_mix():
+    draw = np.random.default_rng(5)
+    cut = draw.normal(3, 1, 20_000)
+    mixed = np.concatenate([draw.normal(-3, 1, 9_500), draw.normal(3, 1, 500)])
+    sums, ratios = tr.likelihood_ratio(mixed, cut)
+    assert (np.diff(ratios) >= -1e-9).all()
+    assert np.interp(4.0, sums, ratios) > 4 and np.interp(-4.0, sums, ratios) < -4
+    assert list(tr.likelihood_ratio(np.zeros(5), np.zeros(5))[1]) == [0.0]
+
+
+def test_copies_of_a_cut_text_do_not_teach_that_it_is_whole(spark):
+    draw = np.random.default_rng(8)
+    rows = [(i, " ".join(sentence(draw) for _ in range(6)), "a") for i in range(1500)]
+    rows += [(10_000 + i, "Alpha bravo charlie. Delta echo foxtrot golf ho", "a") for i in range(800)]  # one text holds a third of the rows
+    told = tr.truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), sample_rows=1000)
+    assert told.filter("doc_id >= 10000 and not cut").count() == 0 and told.filter("doc_id < 10000 and cut").count() == 0
+
+
+def test_byte_limits_have_their_own_law(spark):
+    draw = np.random.default_rng(4)
+    sizes = np.rint(draw.lognormal(5.5, 0.4, 4000)).astype(int)
+    rows = [("a", "chars", int(n), 1, 1) for n in sizes] + [("a", "bytes", int(3 * n), 1, 1) for n in sizes]
+    rows += [("a", "bytes", 700, 90, 0)]
+    df = spark.createDataFrame(rows, "source string, unit string, length int, rows bigint, whole bigint").groupBy("source", "unit", "length").sum("rows", "whole")
+    limits = tr.find_limits(df.withColumnsRenamed({"sum(rows)": "rows", "sum(whole)": "whole"}))
+    assert limits["a", "bytes"][700] > 5 and ("a", "chars") not in limits
