@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from plumbline.session import materialize
 
 SAMPLE_ROWS = 40_000
+SAMPLE_PARTS = 16  # tasks that make the sample's features
 CUTS_PER_TEXT = 2
 BITS = 18
 EPOCHS = 8
@@ -454,12 +455,14 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     h = F.xxhash64("source", "text")
     place = F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
     sample = filled.filter(place < part).groupBy(h.alias("h")).agg(F.first("source").alias("source"), F.first("text").alias("text"))
-    sample = sample.orderBy("h").limit(sample_rows).select("h", "source", "text")
+    sample = sample.orderBy("h").limit(sample_rows).select("h", "source", "text").repartition(SAMPLE_PARTS)
     known = known_words(filled)
     found = spark.sparkContext.broadcast((limits, known))
     learned = sample.mapInArrow(_sampler(found), "label double, features array<int>, half int").toPandas()
     if len(learned):
-        endings = learn_endings(np.stack(learned["features"].to_numpy()), learned["label"].to_numpy(), learned["half"].to_numpy())
+        features, labels, half = np.stack(learned["features"].to_numpy()), learned["label"].to_numpy(), learned["half"].to_numpy()
+        del learned
+        endings = learn_endings(features, labels, half)
     else:
         endings = NO_ENDINGS
     shipped = spark.sparkContext.broadcast((endings, limits, known))  # 2 MB of weights, the limits, two tables of 8 MB
