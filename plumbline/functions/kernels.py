@@ -135,3 +135,67 @@ def pattern_likelihood(pattern: str, mean: np.ndarray, cov: np.ndarray, points:
     at = [i for i, ch in enumerate(pattern) if ch != "_"]
     signs = np.array([1.0 if pattern[i] == "1" else -1.0 for i in at])
     return orthant(mean[at], cov[np.ix_(at, at)], signs, points)
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function (modified Lentz)."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    out = d
+    for m in range(1, 10_000):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 + top * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + top / c
+            c = c if abs(c) > tiny else tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            return out
+    raise ArithmeticError("the fraction does not converge")
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1) / (a + b + 2):
+        return front * _beta_fraction(a, b, x) / a
+    return 1 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+def f_tail(f: float, d1: float, d2: float) -> float:
+    """P(F > f) of the F distribution."""
+    return incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
+
+
+def chi2_tail(x: float, k: float) -> float:
+    """P(X > x) of the chi-squared distribution: the upper incomplete gamma function by series or fraction."""
+    a, y = k / 2, x / 2
+    if y <= 0:
+        return 1.0
+    front = math.exp(a * math.log(y) - y - math.lgamma(a))
+    if y < a + 1:
+        term = total = 1 / a
+        n = a
+        while abs(term) > abs(total) * 1e-16:
+            n += 1
+            term *= y / n
+            total += term
+        return 1 - front * total
+    tiny = 1e-300
+    b, c = y + 1 - a, 1 / tiny
+    d = 1 / b
+    out = d
+    for i in range(1, 10_000):
+        top = -i * (i - a)
+        b += 2
+        d = top * d + b
+        d = 1 / (d if abs(d) > tiny else tiny)
+        c = b + top / c
+        c = c if abs(c) > tiny else tiny
+        out *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return front * out

@@ -93,6 +93,15 @@ def to_number(text: Column) -> Column:
     return F.regexp_replace(text, r"[,\s]", "").try_cast("double")
 
 
+#: What spreadsheets write where there is nothing.
+SENTINELS = ["#N/A", "#ERROR!", ""]
+
+
+def without_sentinels(text: Column) -> Column:
+    """Null where the text is one of a spreadsheet's marks for nothing."""
+    return F.when(~F.trim(text).isin(SENTINELS), text)
+
+
 def to_flag(text: Column) -> Column:
     """True for true, t, 1 or yes in any case, False otherwise."""
     return F.coalesce(F.lower(F.trim(text.cast("string"))).isin("true", "t", "1", "yes"), F.lit(False))
@@ -141,7 +150,7 @@ def interval_text(centre: Column, low: Column, high: Column) -> Column:
 
 
 def percent_text(share: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f %%", (share * 100).cast("double")), F.lit("-"))
+    return F.when(share.isNotNull(), F.format_string("%.1f %%", (share * 100).cast("double"))).otherwise(F.lit("-"))
 
 
 def number_list(values: list[Column]) -> Column:

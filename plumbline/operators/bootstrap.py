@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from plumbline.operators.metrics import pattern
 
 #: Head count below which a Beta prior (alpha, beta) of the share holds.
 PRIORS = [(100, (2.415889, 21.742998)), (1000, (3.001591, 57.030237)), (10000, (1.563834, 154.819604)), (float("inf"), (1.0, 999.0))]
+#: Fixed value: the prior of comparators outside the field, whatever their head count.
+OTHER_PRIOR = (1.0, 9999.0)
 #: Fixed value: the prior without a head count.
 FALLBACK_PRIOR = (1.563834, 154.819604)
 
@@ -91,9 +94,12 @@ def tetrachoric_table(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in pairs.dtypes) + ", rho double")
 
 
-def prior_for(headcount: float | None) -> tuple[float, float]:
+def prior_for(headcount: float | None, org_type: str = "consulting") -> tuple[float, float]:
+    """(alpha, beta) by head count; ``org_type`` "comparator_non_ml" has one prior for all sizes."""
     if headcount is None or not np.isfinite(headcount) or headcount <= 0:
         return FALLBACK_PRIOR
+    if org_type == "comparator_non_ml":
+        return OTHER_PRIOR
     return next(p for upper, p in PRIORS if headcount < upper)
 
 
@@ -106,11 +112,12 @@ def bootstrap_counts(
     iterations: int,
     seed: int = 1000,
     points: int = 1024,
+    org_type: str = "consulting",
 ) -> DataFrame:
     """(company, iteration, positives): bootstrap distribution of the number of positives per company.
 
     ``company_patterns``: company, headcount, patterns (array of struct pattern,
-    n), one row per company. Each iteration resamples the labelled counts within their class, refits the model,
+    n), one row per company. Iteration 0 takes the labelled counts as they are; each other one resamples the labelled counts within their class, refits the model,
     draws each company's patterns up to its head count and its share from the
     prior, and adds binomial draws. The models of all iterations are fitted in
     parallel; companies stay partitioned and never meet.
@@ -127,7 +134,9 @@ def bootstrap_counts(
                 for k in (0, 1):
                     own = [(p, n) for c, p, n in labelled if c == k]
                     total = int(sum(n for _, n in own))
-                    if total:
+                    if total and b == 0:
+                        again += [(k, p, n) for p, n in own]
+                    elif total:
                         drawn = draw.multinomial(total, np.array([n for _, n in own]) / total)
                         again += [(k, p, float(n)) for (p, _), n in zip(own, drawn, strict=True) if n]
                 told = fit_probit(again, annotators).likelihoods(names, points)
@@ -135,8 +144,10 @@ def bootstrap_counts(
             yield pd.DataFrame({"iteration": batch["iteration"], "l": out})
 
     models = spark.range(iterations).withColumnRenamed("id", "iteration").repartition(min(iterations, 64)).mapInPandas(fit, "iteration bigint, l array<double>")
-    fitted = {int(r["iteration"]): np.array(r["l"]).reshape(-1, 2) for r in models.collect()}  # iterations x patterns numbers
-    shipped = spark.sparkContext.broadcast((names, fitted))
+    fits = sorted((int(r["iteration"]), r["l"]) for r in models.collect())  # iterations x patterns numbers
+    iterations_of = [i for i, _ in fits]
+    first = [i == 0 for i in iterations_of]
+    shipped = spark.sparkContext.broadcast((names, np.array([x for _, x in fits]).reshape(len(fits), -1, 2)))
     kind = dict(company_patterns.dtypes)[company]
 
     def draw_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,18 +160,18 @@ def bootstrap_counts(
                 n = np.array([p["n"] for p in patterns], dtype=float)
                 known = size is not None and not pd.isna(size) and size > 0
                 target = int(max(size, n.sum())) if known else int(n.sum())
-                a, b = prior_for(float(size) if known else None)
-                entropy = np.frombuffer(str(key).encode().ljust(8, b"\0"), dtype=np.uint8)
-                for it, likelihood in fitted.items():
-                    draw = np.random.default_rng([seed, it, *entropy.tolist()])
-                    share = draw.beta(a, b)
-                    drawn = draw.multinomial(target, n / n.sum())
-                    l0, l1 = likelihood[at, 0], likelihood[at, 1]
-                    bottom = l1 * share + l0 * (1 - share)
-                    p = np.where(bottom > 0, l1 * share / np.where(bottom > 0, bottom, 1), 0.5)
-                    ids.append(key)
-                    its.append(it)
-                    positives.append(int(draw.binomial(drawn, np.clip(p, 0, 1)).sum()))
+                a, b = prior_for(float(size) if known else None, org_type)
+                # one generator a company and one draw for all iterations
+                draw = np.random.default_rng([seed, *str(key).encode()])
+                share = draw.beta(a, b, len(iterations_of))[:, None]
+                drawn = draw.multinomial(target, n / n.sum(), len(iterations_of))
+                drawn[first] = n  # iteration 0 takes the rows observed
+                l0, l1 = fitted[:, at, 0], fitted[:, at, 1]
+                bottom = l1 * share + l0 * (1 - share)
+                p = np.where(bottom > 0, l1 * share / np.where(bottom > 0, bottom, 1), 0.5)
+                ids += [key] * len(iterations_of)
+                its += iterations_of
+                positives += draw.binomial(drawn, np.clip(p, 0, 1)).sum(axis=1).tolist()
             yield pd.DataFrame({company: ids, "iteration": its, "positives": positives})
 
     return company_patterns.mapInPandas(draw_counts, f"{company} {kind}, iteration bigint, positives bigint")
@@ -236,6 +247,18 @@ def synthetic_patterns(df: DataFrame, company: str, headcount: str, counts: list
     return usable.select(company, headcount, *counts).mapInPandas(run, f"{company} {kind}, pattern string, n bigint")
 
 
+#: Log10 of the prevalence: mean, deviation, and the limits beyond which nothing is drawn.
+LOG_PREVALENCE = (-1.5, 0.8, -3.0, 0.0)
+
+
+def truncated_normal_quantiles(mean: float, deviation: float, low: float, high: float, steps: int = 2048) -> list[float]:
+    """Quantiles at 0, 1/steps, ..., 1 of a normal law cut at two limits."""
+    law = NormalDist(mean, deviation)
+    a, b = law.cdf(low), law.cdf(high)
+    inner = [law.inv_cdf(a + (b - a) * i / steps) for i in range(1, steps)]
+    return [low, *inner, high]
+
+
 def fake_annotations(spark, companies: int, rows: int, sens: list[float], spec: list[float], seed: int = 42) -> DataFrame:
     """Rows of invented companies with known prevalence: company_id, prevalence, label and one column per annotator.
 
@@ -247,10 +270,11 @@ def fake_annotations(spark, companies: int, rows: int, sens: list[float], spec:
         return F.shiftrightunsigned(F.xxhash64(*salt, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
     base = spark.range(rows).select("id", F.pmod("id", F.lit(companies)).alias("company_id"))
-    u1, u2 = uniform("company_id", F.lit("a")), uniform("company_id", F.lit("b"))
-    normal = F.sqrt(-2 * F.ln(F.greatest(u1, F.lit(1e-12)))) * F.cos(2 * 3.141592653589793 * u2)
-    prevalence = F.pow(F.lit(10.0), F.greatest(F.lit(-3.0), F.least(F.lit(0.0), F.lit(-1.5) + 0.8 * normal)))
-    told = base.withColumn("prevalence", prevalence)
+    u1 = uniform("company_id", F.lit("a"))
+    table = truncated_normal_quantiles(*LOG_PREVALENCE)
+    at = F.floor(u1 * (len(table) - 1))
+    low, high = F.get(F.lit(table), at.cast("int")), F.get(F.lit(table), (at + 1).cast("int"))
+    told = base.withColumn("prevalence", F.pow(F.lit(10.0), low + (high - low) * (u1 * (len(table) - 1) - at)))
     told = told.withColumn("label", (uniform("id", F.lit("label")) < F.col("prevalence")).cast("int"))
     for j, (a, b) in enumerate(zip(sens, spec, strict=True)):
         rate = F.when(F.col("label") == 1, F.lit(a)).otherwise(F.lit(1 - b))

@@ -56,3 +56,42 @@ def calibrated_accuracy(scores: DataFrame, file: str, logits: str, answer: str)
     return by_class.groupBy(file).agg(
         (F.sum("h") / F.sum("n")).alias("accuracy"), (F.sum("ch") / F.sum("n")).alias("calibrated"), F.avg(F.col("ch") / F.col("n")).alias("balanced")
     )
+
+
+def strided_splits(df: DataFrame, key: str, most: int, held: int, k: int, seed: int = 42) -> DataFrame:
+    """The first ``most`` rows of a seeded shuffle with ``split``: -1 for the ``held`` first ones, then 0 to k - 1 in turn.
+
+    Only ``most`` rows are put in order: Spark keeps as many per task.
+    """
+    first = df.select(key).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(most)
+    place = F.row_number().over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)) - 1  # over at most ``most`` rows
+    return first.withColumn("split", F.when(place < held, -1).otherwise(F.pmod(place - held, F.lit(k))).cast("int"))
+
+
+def true_false(question: Column, choices: Column, answer: Column) -> Column:
+    """For each choice the question with it as a statement, and whether it is true."""
+    return F.transform(
+        choices, lambda c, i: F.concat(question, F.lit("\n"), c, F.lit("\nTrue or false? Answer: "), F.when(i == answer, "True").otherwise("False"))
+    )
+
+
+def k_shot(df: DataFrame, key: str, question: str, choices: str, answer: str, k: int) -> DataFrame:
+    """(key, prompt, completion, text): the ``k`` questions of the smallest keys, solved by letter, before every other question.
+
+    The shots are ``k`` rows and joined to all as one.
+    """
+    letters = F.array(*[F.lit(x) for x in LETTERS])
+    rows = df.select(key, mcq_prompt(F.col(question), F.col(choices)).alias("open"), F.get(letters, F.col(answer)).alias("completion"))
+    first = rows.orderBy(key).limit(k)
+    solved = F.transform(F.array_sort(F.collect_list(F.struct(key, F.concat("open", F.lit(" "), "completion").alias("t")))), lambda s: s["t"])
+    head = first.agg(F.array_join(solved, "\n\n").alias("head"))  # one row
+    others = rows.join(first.select(key), key, "left_anti").crossJoin(F.broadcast(head))
+    prompt = F.concat("head", F.lit("\n\n"), "open")
+    return others.select(key, prompt.alias("prompt"), "completion", F.concat(prompt, F.lit(" "), "completion").alias("text"))
+
+
+def seeded_wrongs(key: Column, choices: Column, answer: Column, n: int, seed: int = 0) -> Column:
+    """Up to ``n`` different wrong choices in an order fixed by the key: one for each phrasing of a question."""
+    wrong = F.array_distinct(wrong_answers(choices, answer))
+    placed = F.array_sort(F.transform(wrong, lambda c: F.struct(F.xxhash64(key, c, F.lit(seed)).alias("h"), c.alias("c"))))
+    return F.slice(F.transform(placed, lambda s: s["c"]), 1, n)

@@ -4,28 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.relational import first_wins
 
 
-def flat_profile(experiences: Column, certifications: Column, education: Column) -> Column:
-    """A profile as one text: entries of a section joined by ' | ', sections by ' || ', empty ones left out."""
-
-    def section(rows: Column, fields: list[str]) -> Column:
-        lines = F.transform(rows, lambda e: F.concat_ws(", ", *[F.nullif(e[f], F.lit("")) for f in fields]))
-        return F.nullif(F.array_join(F.filter(lines, lambda x: x != ""), " | "), F.lit(""))
-
-    return F.concat_ws(
-        " || ",
-        section(experiences, ["title", "company", "description"]),
-        section(certifications, ["name", "authority"]),
-        section(education, ["field_of_study", "degree_name", "school"]),
-    )
-
-
 def keyword_classes(df: DataFrame, key: str, terms: str, weights: DataFrame, least: int = 3) -> DataFrame:
     """(key, category, confidence, matches): the category of the largest summed weight of the matched keywords.
 
@@ -48,18 +33,19 @@ def clusters(df: DataFrame, key: str, vector: str, k: int, score: str, seed: int
     return told.groupBy("cluster").agg(F.count("*").alias("members"), F.avg(score).alias("average"), F.max_by(key, F.struct(score, key)).alias("representative"))
 
 
-def theil_sen(df: DataFrame, x: str, y: str, pairs: int = 200_000, seed: int = 3) -> tuple[float | None, float | None]:
-    """(slope, intercept) of the median slope, over random pairs of rows: each row meets the row next in several hash orders.
+def theil_sen(df: DataFrame, x: str, y: str, partners: int = 32, seed: int = 3) -> tuple[float | None, float | None]:
+    """(slope, intercept) of the median slope over random pairs of rows: each row meets the row next to it in ``partners`` hash orders.
 
-    Every row takes part in about the same number of pairs, so work grows with
-    the rows, not their square.
+    An estimate of the median over all pairs: every row takes part in about
+    twice ``partners`` pairs at any size, so work grows with the rows, not
+    their square. On a few thousand rows it lies within a hundredth of the
+    median over all pairs (test).
     """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop().withColumn("id", F.monotonically_increasing_id())
     n = rows.count()
     if n < 2:
         return None, None
-    rounds = max(1, min(32, pairs // n))
-    ordered = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("h", F.xxhash64("id", "round", F.lit(seed)))
+    ordered = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(partners)))).withColumn("h", F.xxhash64("id", "round", F.lit(seed)))
     buckets = max(1, n // 1000)
     from pyspark.sql import Window
 
@@ -85,16 +71,19 @@ def eta_squared(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def loose_lookup(names: DataFrame, name: str, known: DataFrame, known_name: str, known_id: str, least: int = 4) -> DataFrame:
-    """(name, id): the known row of the same name in letters and digits only, else the first that begins with it.
+    """(name, id): the known row of the same name in letters and digits only, else the shortest that contains it.
 
-    The second step joins on the first ``least`` characters, so it is an
-    equi-join with a residual.
+    What contains a name holds its first ``least`` characters somewhere, so the
+    second step is an equi-join on the known names' windows of that length with
+    a residual; shorter names are only looked up as they are.
     """
     norm = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
     a = names.select(F.col(name), norm(F.col(name)).alias("__n"))
     b = first_wins(known.select(norm(F.col(known_name)).alias("__m"), F.col(known_id)), ["__m"], [known_id])
     exact = a.join(b, F.col("__n") == F.col("__m"), "left").select(name, "__n", F.col(known_id).alias("__exact"))
-    rest = exact.filter((F.col("__exact").isNull()) & (F.length("__n") >= least))
-    starts = rest.join(b, (F.substring("__n", 1, least) == F.substring("__m", 1, least)) & F.col("__m").startswith(F.col("__n")))
-    first = starts.groupBy(name).agg(F.min_by(known_id, F.struct(F.length("__m"), "__m")).alias("__loose"))
-    return exact.join(first, name, "left").select(name, F.coalesce("__exact", "__loose").alias("id"))
+    rest = exact.filter((F.col("__exact").isNull()) & (F.length("__n") >= least)).select(F.col(name).alias("__name"), "__n", F.substring("__n", 1, least).alias("__w"))
+    starts = F.sequence(F.lit(1), F.length("__m") - (least - 1))
+    windows = b.filter(F.length("__m") >= least).withColumn("__w", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("__m", i, F.lit(least))))))
+    held = rest.join(windows, "__w").filter(F.col("__m").contains(F.col("__n")))
+    first = held.groupBy("__name").agg(F.min_by(known_id, F.struct(F.length("__m"), "__m")).alias("__loose"))
+    return exact.join(first, F.col(name) == F.col("__name"), "left").select(name, F.coalesce("__exact", "__loose").alias("id"))

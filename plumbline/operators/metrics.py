@@ -172,3 +172,72 @@ def headcount_mismatch(count: Column, other: Column) -> Column:
     """Whether two head counts differ by more than three times; True where the other is null, False where it is 0."""
     quotient = F.when(other > 0, count / other)
     return F.when(other.isNull(), True).otherwise(F.coalesce((quotient > 3) | (quotient < F.lit(1.0) / 3), F.lit(False)))
+
+
+def predictive_check(draws: DataFrame, group: str, value: str, observed: Column) -> DataFrame:
+    """Per group: mean, std, low and high (2.5 and 97.5 %) of the draws, two-sided p of the observed value, and whether it lies between."""
+    v = F.col(value).cast("double")
+    upper, lower = F.avg((v >= observed).cast("double")), F.avg((v <= observed).cast("double"))
+    told = draws.groupBy(group).agg(
+        F.avg(v).alias("mean"),
+        F.stddev_pop(v).alias("std"),
+        F.percentile(v, F.lit(0.025)).alias("low"),
+        F.percentile(v, F.lit(0.975)).alias("high"),
+        F.least(F.lit(1.0), 2 * F.least(upper, lower)).alias("p"),
+    )
+    inside = observed.between(F.col("low"), F.col("high"))
+    return told.select(group, *[F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high")], F.round("p", 9).alias("p"), inside.alias("in_ci"))
+
+
+def rank_estimators(df: DataFrame, truth_column: str, estimators: list[str], near: float = 0.1) -> DataFrame:
+    """estimator, rmse, mae, worst, near (share within ``near`` of the truth) and place by rmse; rows without an estimate are left out for it."""
+    from pyspark.sql import Window
+
+    long = df.select(F.col(truth_column).alias("truth"), *estimators).unpivot(["truth"], estimators, "estimator", "estimate").filter("estimate is not null")
+    gap = F.abs(F.col("estimate") - F.col("truth"))
+    told = long.groupBy("estimator").agg(
+        F.round(F.sqrt(F.avg(gap * gap)), 6).alias("rmse"),
+        F.round(F.avg(gap), 6).alias("mae"),
+        F.round(F.max(gap), 6).alias("worst"),
+        F.round(F.avg((gap <= near * F.abs(F.col("truth"))).cast("double")), 9).alias("near"),
+    )
+    return told.withColumn("place", F.rank().over(Window.orderBy("rmse")).cast("bigint"))  # over the few estimators
+
+
+def column_shares(df: DataFrame, column: str, value: str) -> DataFrame:
+    """Values of each column as shares: where most of its values exceed 1 it holds percentages, and all are divided by 100."""
+    most = df.groupBy(column).agg((F.count_if(F.col(value) > 1) * 2 > F.count("*")).alias("__percent"))
+    return df.join(most, column).withColumn(value, F.when(F.col("__percent"), F.col(value) / 100).otherwise(F.col(value))).drop("__percent")
+
+
+def group_tests(df: DataFrame, group: str, value: str) -> DataFrame:
+    """One row: groups, f, p_f, eta2 (analysis of variance) and h, p_h (Kruskal-Wallis, corrected for ties).
+
+    Rows without group or value are left out. Ranks come from counts of the
+    values by range partitions, so no task orders all rows.
+    """
+    from plumbline.functions.kernels import chi2_tail, f_tail
+    from plumbline.operators.relational import average_ranks
+
+    x = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).na.drop()
+    ranks = average_ranks(x, "v")
+    by_group = x.join(ranks, "v").groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"), F.sum("rank").alias("r"))
+    n = F.sum("n")
+    row = by_group.agg(
+        F.count("*").alias("groups"),
+        n.alias("n"),
+        (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.pow(F.sum(F.col("n") * F.col("m")), F.lit(2)) / n).alias("between"),
+        F.sum(F.col("n") * F.col("s")).alias("within"),
+        F.sum(F.col("r") * F.col("r") / F.col("n")).alias("b"),
+    ).first()
+    ties = ranks.agg(F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("t")).first()["t"]
+    k, total = row["groups"], row["n"] or 0
+    f = p_f = eta2 = h = p_h = None
+    if k > 1 and total > k and row["within"]:
+        f = (row["between"] / (k - 1)) / (row["within"] / (total - k))
+        eta2 = row["between"] / (row["between"] + row["within"])
+        p_f = f_tail(f, k - 1, total - k)
+    if k > 1 and total > 1 and ties < total**3 - total:
+        h = (12.0 / (total * (total + 1)) * row["b"] - 3 * (total + 1)) / (1 - ties / (total**3 - total))
+        p_h = chi2_tail(h, k - 1)
+    return df.sparkSession.createDataFrame([(k, f, p_f, eta2, h, p_h)], "groups bigint, f double, p_f double, eta2 double, h double, p_h double")

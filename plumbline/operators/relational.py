@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import materialize
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """One row per key, the first by ``order``; a map-side aggregate, so keys with many rows are no hot spot.
@@ -25,9 +27,21 @@ def first_wins_union(sources: list[DataFrame], keys: list[str], order: list[Colu
     return first_wins(both, keys, ["__rank", *order]).drop("__rank")
 
 
+def first_known(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """One row per key: of every other column the first value by ``order`` that is not null, so a row may come from several.
+
+    Rows with a null key are left out. A map-side aggregate, as :func:`first_wins`.
+    """
+    place = F.struct(*order)
+    rest = [c for c in df.columns if c not in keys]
+    known = df.na.drop(subset=keys)
+    return known.groupBy(*keys).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in rest]).select(*df.columns)
+
+
 def precedence_union(main: DataFrame, others: list[DataFrame], key: str) -> DataFrame:
-    """All of ``main`` and, of the others, the keys that no earlier one has."""
-    return reduce(lambda have, new: have.unionByName(new.join(have.select(key), key, "left_anti"), allowMissingColumns=True), others, main)
+    """All of ``main`` and, of each of the others, the keys that ``main`` lacks; a key of several others comes from each of them."""
+    have = main.select(key)
+    return reduce(lambda out, new: out.unionByName(new.join(have, key, "left_anti"), allowMissingColumns=True), others, main)
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, by: str = "place") -> DataFrame:
@@ -43,10 +57,11 @@ def group_index(df: DataFrame, column: str, out: str = "group", base: int = 0) -
     """Consecutive numbers of the sorted distinct non-null values, joined to the rows.
 
     Values are numbered by range partitions: a count per partition, then the
-    place within it, so no task holds all values.
+    place within it, so no task holds all values. The partitions are written
+    once, as both steps must see the same ones.
     """
     distinct = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    ranged = distinct.repartitionByRange(F.col(column)).withColumn("__part", F.spark_partition_id())
+    ranged = materialize(distinct.repartitionByRange(F.col(column)).withColumn("__part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over partitions, not rows
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -63,7 +78,7 @@ def running_cutoff(df: DataFrame, value: str, order: list[str], target: int, buc
     value are put in order.
     """
     sums = df.groupBy(value).agg(F.sum(value).alias("__sum"))
-    ranged = sums.repartitionByRange(F.col(value)).withColumn("__part", F.spark_partition_id())
+    ranged = materialize(sums.repartitionByRange(F.col(value)).withColumn("__part", F.spark_partition_id()), "ranged")
     parts = ranged.groupBy("__part").agg(F.sum("__sum").alias("__total"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("__part", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
@@ -101,3 +116,15 @@ def batches(df: DataFrame, order: str, size: int, value: str) -> DataFrame:
     """Rows in order as arrays of ``size``, by an order column of consecutive numbers from 1."""
     at = F.floor((F.col(order) - 1) / size)
     return df.groupBy(at.cast("bigint").alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias("items"))
+
+
+def average_ranks(df: DataFrame, value: str) -> DataFrame:
+    """(value, rank, ties) of the distinct values: the mean place of equal ones in ascending order, from counts by range partitions."""
+    counts = df.groupBy(value).agg(F.count("*").alias("ties"))
+    ranged = materialize(counts.repartitionByRange(F.col(value)).withColumn("__part", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy("__part").agg(F.sum("ties").alias("__total"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over partitions, not rows
+    offsets = parts.select("__part", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(offsets), "__part").withColumn("__before", F.col("__offset") + F.coalesce(F.sum("ties").over(inside), F.lit(0)))
+    return placed.select(value, (F.col("__before") + (F.col("ties") + 1) / 2.0).alias("rank"), "ties")

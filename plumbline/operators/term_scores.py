@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.relational import top_per_group
+from plumbline.session import materialize
 
 
 def _counted(df: DataFrame, doc: str, category: str, terms: str) -> DataFrame:
@@ -19,7 +20,11 @@ def tfidf_means(df: DataFrame, doc: str, category: str, terms: str, min_docs: in
     ``min_docs`` documents are left out. Documents without category count for
     idf only.
     """
-    tf = _counted(df, doc, category, terms)
+    tf = materialize(_counted(df, doc, category, terms), "tf")
+    return _means(df, tf, doc, category, min_docs)
+
+
+def _means(df: DataFrame, tf: DataFrame, doc: str, category: str, min_docs: int) -> DataFrame:
     total = df.agg(F.count("*").alias("n")).first()["n"]
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_docs)
     idf = idf.select("term", (F.ln((1 + F.lit(float(total))) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -35,8 +40,9 @@ def discriminative(df: DataFrame, doc: str, category: str, terms: str, min_docs:
 
     The other categories enter by their mean.
     """
-    scores = tfidf_means(df, doc, category, terms, min_docs)
-    freq = _counted(df, doc, category, terms).filter(F.col(category).isNotNull()).groupBy(category, "term").agg(F.sum("tf").alias("frequency"))
+    tf = materialize(_counted(df, doc, category, terms), "tf")
+    scores = _means(df, tf, doc, category, min_docs)
+    freq = tf.filter(F.col(category).isNotNull()).groupBy(category, "term").agg(F.sum("tf").alias("frequency"))
     both = scores.join(freq, [category, "term"])
     others = both.groupBy("term").agg(F.sum("frequency").alias("all_f"), F.sum("score").alias("all_s"))
     k = max(df.filter(F.col(category).isNotNull()).select(category).distinct().count() - 1, 1)

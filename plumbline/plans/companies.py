@@ -152,7 +152,7 @@ def headcount_mismatch(spark, sf_dir):
     return f.select("id", metrics.headcount_mismatch(F.col("total_headcount"), F.col("claude_total_employees")).alias("mismatch"))
 
 
-_NULLED = ["claude_total_accepted", "gpt5_total_accepted", "gemini_total_accepted", "claude_total_rejected", "gpt5_total_rejected", "gemini_total_rejected"]
+_NULLED = [f"{model}_total_{kind}" for kind in ("accepted", "rejected", "employees") for model in ("claude", "gpt5", "gemini")]
 
 
 @query(

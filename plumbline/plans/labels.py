@@ -190,7 +190,7 @@ def posterior_patterns(spark, sf_dir):
     return bootstrap.pattern_posteriors(v, "category", ANNOTATORS, prior)
 
 
-ITERATIONS = 16
+ITERATIONS = 256
 
 
 def company_votes(spark, sf_dir):

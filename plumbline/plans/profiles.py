@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions import text as tx
 from plumbline.operators import extras
 from plumbline.operators.nested_records import VariantTables, flatten_records, profile_nodes
+from plumbline.operators.relational import first_wins
 from plumbline.plans.base import query, table
 from plumbline.plans.companies import companies, results
-from plumbline.plans.texts import cv_terms
+from plumbline.plans.nested_sql import NODES
+from plumbline.plans.texts import _TOKENS, cv_terms
 
 
 @query(
@@ -30,18 +33,35 @@ def profile_summary(spark, sf_dir):
     return both.select("raw_id", F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " ").alias("profile_summary"))
 
 
-@query("profile_flatten")
+_FLAT = ", ".join(f"(j->>'{k}')" for k in ("title", "company", "name", "authority", "field_of_study", "degree_name", "degree", "school", "description"))
+
+
+@query(
+    "profile_flatten",
+    NODES
+    + f"""select raw_id, string_agg(section, ' || ' order by s) as profile from (select raw_id, s, string_agg(t, ' | ' order by place, t) as section from (
+  select distinct raw_id, place, t, case kind when 'experience' then 0 when 'certification' then 1 else 2 end as s from (select raw_id, kind, place,
+    array_to_string(list_filter(list_transform([{_FLAT}], lambda x: nullif(trim(x, ' '), '')), lambda x: x is not null), ', ') as t from (select raw_id, kind, place, j from experience_rows union all select raw_id, kind, place, j from education_rows union all select raw_id, kind, place, j from certification_rows))
+  where t <> '') group by 1, 2) group by 1""",
+)
 def profile_flatten(spark, sf_dir):
     """One text per profile from its sections, whatever layout they are stored in."""
     nodes = profile_nodes(spark, sf_dir)
-    text = F.concat_ws(", ", *[F.get_json_object("payload", f"$.{k}") for k in ("title", "company", "name", "authority", "field_of_study", "degree_name", "degree", "school", "description")])
+    text = F.concat_ws(", ", *[F.nullif(F.trim(F.get_json_object("payload", f"$.{k}")), F.lit("")) for k in ("title", "company", "name", "authority", "field_of_study", "degree_name", "degree", "school", "description")])
     top = nodes.filter("parent_path is null").select("raw_id", "kind", "place", text.alias("t")).distinct().filter("t <> ''")
     order = F.when(F.col("kind") == "experience", 0).when(F.col("kind") == "certification", 1).otherwise(2)
     rows = top.groupBy("raw_id", order.alias("s")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda x: x["t"]), " | ").alias("section"))
     return rows.groupBy("raw_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "section"))), lambda x: x["section"]), " || ").alias("profile"))
 
 
-@query("profile_titles")
+_TITLES = "titles as (select distinct raw_id, path, place, (j->>'title') as title, storage from experience_rows where json_type((j->'title')) not in ('OBJECT', 'ARRAY', 'NULL') and trim(j->>'title', ' ') <> '')"
+
+
+@query(
+    "profile_titles",
+    NODES[:-1] + f""", t as (select distinct raw_id, path, place, storage, title from ({_TITLES[len('titles as (') : -1]})), last as (select raw_id, max(place) as last from t group by 1)
+select t.raw_id, title, place, place = last as is_last from t join last on t.raw_id = last.raw_id""",
+)
 def profile_titles(spark, sf_dir):
     """All titles of a profile, and which is its last."""
     e = VariantTables(profile_nodes(spark, sf_dir), "raw_id").kind("experience").distinct().filter("title is not null and trim(title) <> ''")
@@ -49,13 +69,19 @@ def profile_titles(spark, sf_dir):
     return e.join(last, "raw_id").select("raw_id", "title", "place", (F.col("place") == F.col("last")).alias("is_last"))
 
 
-@query("title_counts")
+@query("title_counts", NODES[:-1] + f", {_TITLES} select title, count(*) as count from titles group by 1")
 def title_counts(spark, sf_dir):
     e = VariantTables(profile_nodes(spark, sf_dir), "raw_id").kind("experience").distinct()
     return e.filter("title is not null and trim(title) <> ''").groupBy("title").agg(F.count("*").alias("count"))
 
 
-@query("keyword_classes")
+@query(
+    "keyword_classes",
+    f"""with {_TOKENS}, k as (select * from (values ('research', 'yes', 0.9), ('networks', 'yes', 0.8), ('published', 'yes', 0.9), ('learning', 'yes', 0.5), ('budgets', 'no', 0.8), ('clients', 'no', 0.7), ('team', 'no', 0.5), ('python', 'yes', 0.3)) as t(keyword, cls, score)),
+hits as (select cv_id, unnest(list_distinct(ws)) as term from words), s as (select cv_id, cls, sum(score) as s, count(*) as n from hits join k on term = keyword group by 1, 2),
+best as (select cv_id, arg_max(cls, (s, cls)) as category, max(s) / sum(s) as confidence, sum(n)::bigint as matches from s group by 1)
+select w.cv_id, case when matches >= 3 then b.category end as category, case when matches >= 3 then confidence else 0.0 end as confidence, coalesce(matches, 0)::bigint as matches from words w left join best b on w.cv_id = b.cv_id""",
+)
 def keyword_classes(spark, sf_dir):
     """Category of each CV by weighted keywords, at least three of them."""
     weights = spark.createDataFrame(
@@ -91,7 +117,13 @@ def group_variance(spark, sf_dir):
     return told.select("groups", F.round("f", 6).alias("f"), F.round("eta2", 6).alias("eta2"))
 
 
-@query("loose_lookup")
+@query(
+    "loose_lookup",
+    """with a as (select distinct company_name, regexp_replace(lower(company_name), '[^\\p{L}\\p{N}]', '', 'g') as n from log_debias_company_aggregates where company_name is not null),
+b as (select regexp_replace(lower(company_name), '[^\\p{L}\\p{N}]', '', 'g') as m, min(result_id) as id from correlated_probit_bootstrap_results where company_name is not null group by 1),
+c as (select a.company_name, arg_min(b.id, (length(b.m), b.m)) as id from a join b on contains(b.m, a.n) where length(a.n) >= 4 group by 1)
+select a.company_name, coalesce(e.id, c.id) as id from a left join b e on a.n = e.m left join c on a.company_name = c.company_name""",
+)
 def loose_lookup(spark, sf_dir):
     names = companies(spark, sf_dir).select("company_name").filter("company_name is not null").distinct()
     return extras.loose_lookup(names, "company_name", results(spark, sf_dir).filter("company_name is not null"), "company_name", "result_id")
@@ -102,9 +134,10 @@ def keyphrases(spark, sf_dir):
     """Keyphrases of each CV, five per text, diverse."""
     from plumbline.operators.keyphrases import keyphrases as nearest
 
-    cvs = table(spark, sf_dir, "validation_cvs").select("cv_id", "cv_text").dropDuplicates(["cv_id"])
-    terms = cv_terms(spark, sf_dir).select("cv_id", "terms").dropDuplicates(["cv_id"])
-    return nearest(cvs.join(terms, "cv_id"), "cv_id", "cv_text", "terms", top=5)
+    # text and terms of the same row: the first text of each CV
+    cvs = first_wins(table(spark, sf_dir, "validation_cvs").select("cv_id", "cv_text"), ["cv_id"], ["cv_text"])
+    worded = cvs.select("cv_id", "cv_text", tx.tokens(F.col("cv_text")).alias("words"))
+    return nearest(worded.select("cv_id", "cv_text", tx.ngrams(F.col("words"), [1, 2]).alias("terms")), "cv_id", "cv_text", "terms", top=5)
 
 
 @query(

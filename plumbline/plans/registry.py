@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from plumbline.operators import nested_records
-from plumbline.plans import companies, labels, nested_sql, profiles, tables, texts  # noqa: F401  (they register their queries)
+from plumbline.plans import companies, files, labels, more, nested_sql, profiles, tables, texts  # noqa: F401  (they register their queries)
 from plumbline.plans.base import QUERIES, SQL, Builder
 
 KINDS = ("experience", "position", "project", "education", "certification")

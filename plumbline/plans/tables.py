@@ -69,9 +69,10 @@ def distribution_summary(spark, sf_dir):
     "precedence_union",
     """with main as (select c_custkey as id, 'main' as source from customer where c_nationkey < 5), a as (select c_custkey as id, 'first' as source from customer where c_nationkey < 10),
 b as (select c_custkey as id, 'second' as source from customer where c_nationkey < 15)
-select * from main union all select * from a where id not in (select id from main) union all select * from b where id not in (select id from main) and id not in (select id from a)""",
+select * from main union all select * from a where id not in (select id from main) union all select * from b where id not in (select id from main)""",
 )
 def precedence_union(spark, sf_dir):
+    """Every key of the main table, and the main table's missing keys from each of two others, which are not compared with one another."""
     c = table(spark, sf_dir, "customer")
     part = lambda top, name: c.filter(F.col("c_nationkey") < top).select(F.col("c_custkey").alias("id"), F.lit(name).alias("source"))
     return relational.precedence_union(part(5, "main"), [part(10, "first"), part(15, "second")], "id")

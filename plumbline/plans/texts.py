@@ -52,7 +52,10 @@ def keyword_cv_scores(spark, sf_dir):
 
 
 
-@query("text_preprocess")
+@query(
+    "text_preprocess",
+    r"""select doc_id, regexp_replace(trim(regexp_replace(lower(coalesce(text, '')), '[ \t\n\r\f\v]+', ' ', 'g'), ' '), '(^|[^a-z0-9_])[0-9]{1,2}\b', '\1', 'g') as processed from documents""",
+)
 def text_preprocess(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", tx.preprocess(F.col("text")).alias("processed"))
 
@@ -178,7 +181,13 @@ def verdict_lines(spark, sf_dir):
     return d.select("doc_id", F.nullif(F.regexp_extract("text", p, 1), F.lit("")).alias("profile"), F.nullif(F.regexp_extract("text", p, 2), F.lit("")).alias("verdict"))
 
 
-@query("verdict_answers")
+@query(
+    "verdict_answers",
+    r"""with d as (select doc_id, text, coalesce(nullif(regexp_extract(text, '(?s)```(?:json)?\s*(\{.*?\})\s*```', 1), ''), nullif(regexp_extract(text, '(?s)(\{[^{}]*\})', 1), '')) as o from documents where source = 'llm_rationale' and text is not null),
+j as (select doc_id, text, case when json_valid(o) then o::json end as j from d)
+select doc_id, coalesce(j->>'linkedin_id', nullif(regexp_extract(text, '\[([A-Za-z0-9-]+)\]: *(ACCEPT|REJECT)', 1), '')) as profile,
+  coalesce(j->>'evaluation', nullif(regexp_extract(text, '\[([A-Za-z0-9-]+)\]: *(ACCEPT|REJECT)', 2), ''), 'RETRY_FAILED') as verdict from j""",
+)
 def verdict_answers(spark, sf_dir):
     """Verdicts in any form a model answers in: JSON, fenced JSON, an object within text, or lines."""
     d = documents(spark, sf_dir).filter("source = 'llm_rationale' and text is not null").select("doc_id", "text")

@@ -100,9 +100,9 @@ def read_flags(spark: SparkSession, sources: list[str]) -> DataFrame:
     )
 
 
-def read_verdicts(spark: SparkSession, path: str, model: str) -> DataFrame:
+def read_verdicts(spark: SparkSession, path: str, model: str, glob: str = "batch_results_*.jsonl") -> DataFrame:
     """Verdicts of one model's batch files: 1 for ACCEPT; the first per id by file and line."""
-    raw = spark.read.schema(BATCH).option("mode", "DROPMALFORMED").option("pathGlobFilter", "batch_results_*.jsonl").json(path)
+    raw = spark.read.schema(BATCH).option("mode", "DROPMALFORMED").option("pathGlobFilter", glob).json(path)
     raw = raw.withColumn("__file", F.input_file_name()).withColumn("__line", F.monotonically_increasing_id())
     flat = raw.select("__file", "__line", F.posexplode("results").alias("__at", "r")).select("__file", "__line", "__at", "r.*").filter("linkedin_id is not null")
     one = first_wins(flat, ["linkedin_id"], ["__file", "__line", "__at"])
@@ -138,3 +138,26 @@ def company_master(raw: DataFrame, rename: dict[str, str], showcase: bool = True
         slug = tx.company_slug(F.col("linkedin_url"), showcase)
         have = have.withColumn("linkedin_id", F.coalesce(slug, F.col("id").cast("string")) if numeric_fallback else slug)
     return have
+
+
+def company_base(raw: DataFrame, default_employees: int = 100) -> DataFrame:
+    """Add id, employees, total_headcount and company_size to a table of companies.
+
+    The id is ``company_id``, else ``linkedin_id``, else the first column; the
+    employees are ``employees_in_linkedin``, else ``employees``, else
+    ``default_employees`` where the table has neither. Null counts are 0 and of
+    unknown size.
+    """
+    have = raw.columns
+    key = next((c for c in ("company_id", "linkedin_id") if c in have), have[0])
+    count = next((F.col(c) for c in ("employees_in_linkedin", "employees") if c in have), F.lit(default_employees)).cast("bigint")
+    size = (
+        F.when(count.isNull() | (count == 0), "Unknown")
+        .when(count < 10, "Startup")
+        .when(count < 50, "Small")
+        .when(count < 200, "Medium")
+        .when(count < 1000, "Large")
+        .otherwise("Enterprise")
+    )
+    filled = F.coalesce(count, F.lit(0).cast("bigint"))
+    return raw.withColumns({"id": F.col(key), "employees": filled, "total_headcount": filled, "company_size": size})

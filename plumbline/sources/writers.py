@@ -31,6 +31,13 @@ def as_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
+def as_json_array(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A small table as one text, a JSON array of its rows; more than ``most`` rows are an error, as one task holds them all."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows for one JSON text; write lines instead")
+    return df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+
+
 def samples_long(df: DataFrame, key: str, samples: str) -> DataFrame:
     """Ragged arrays of samples as rows (key, sample, value), the form in which distributions are kept."""
     return df.select(key, F.posexplode(samples).alias("sample", "value"))

@@ -73,7 +73,15 @@ def test_precedence_union(spark):
     a = spark.createDataFrame([(1, "a")], "id int, s string")
     b = spark.createDataFrame([(1, "b"), (2, "b")], "id int, s string")
     c = spark.createDataFrame([(2, "c"), (3, "c")], "id int, s string")
-    assert {r.id: r.s for r in rel.precedence_union(a, [b, c], "id").collect()} == {1: "a", 2: "b", 3: "c"}
+    # the others are compared with the main table only
+    assert sorted((r.id, r.s) for r in rel.precedence_union(a, [b, c], "id").collect()) == [(1, "a"), (2, "b"), (2, "c"), (3, "c")]
+
+
+def test_first_known(spark):
+    df = spark.createDataFrame([("k", 2, "late", 5), ("k", 1, None, 7), (None, 1, "x", 1), ("n", 1, None, None)], "k string, o int, s string, v int")
+    got = {r.k: (r.s, r.v) for r in rel.first_known(df, ["k"], ["o"]).collect()}
+    assert got == {"k": ("late", 7), "n": (None, None)}
+    assert rel.first_known(df.limit(0), ["k"], ["o"]).count() == 0
 
 
 def test_null_outliers(spark):
