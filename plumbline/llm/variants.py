@@ -138,6 +138,8 @@ def block_pairs(keyed: DataFrame, left: str | None = None, right: str | None = N
     ``SPLIT_BLOCK`` rows is cut into parts by hash; each part of the left side
     meets each part of the right in a cell of its own, so no task gets a whole
     large block and every pair meets once. Only hashes and ids are shuffled.
+    Rows of a different ``sort``, where ``keyed`` has one and neither is null,
+    are no pair.
     """
     sizes = keyed.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT_BLOCK)
     parts = sizes.select("block", F.ceil(F.col("n") / SPLIT_BLOCK).cast("int").alias("parts"))
@@ -145,9 +147,13 @@ def block_pairs(keyed: DataFrame, left: str | None = None, right: str | None = N
     own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     one, two = (split, split) if left is None else (split.filter(F.col("side") == left), split.filter(F.col("side") == right))
-    one = one.select("block", own.alias("i"), every.alias("j"), F.col("id").alias("a"))
-    two = two.select("block", every.alias("i"), own.alias("j"), F.col("id").alias("b"))
-    pairs = one.join(two, ["block", "i", "j"]).select("a", "b")
+    sort = [F.col("sort")] if "sort" in keyed.columns else []
+    one = one.select("block", own.alias("i"), every.alias("j"), F.col("id").alias("a"), *[c.alias("sort_a") for c in sort])
+    two = two.select("block", every.alias("i"), own.alias("j"), F.col("id").alias("b"), *[c.alias("sort_b") for c in sort])
+    pairs = one.join(two, ["block", "i", "j"])
+    if sort:
+        pairs = pairs.filter(F.coalesce(F.col("sort_a") == F.col("sort_b"), F.lit(True)))
+    pairs = pairs.select("a", "b")
     return (pairs.filter("a < b") if left == right else pairs).distinct()
 
 
@@ -204,7 +210,8 @@ def name_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
     names = entries.groupBy("name").agg(F.first("kind").alias("kind"), F.first("core").alias("core"), F.first("weak").alias("weak"), F.count("*").alias("entries"))
     names = materialize(names.withColumn("id", F.monotonically_increasing_id()), "names")
 
-    keyed = names.select("id", "core").mapInArrow(_keys, "id bigint, core string, block string").select("id", F.xxhash64("block").alias("block"))
+    sort = F.when(F.col("kind").isNotNull(), F.hash("kind"))  # kinds of one hash are told apart below
+    keyed = names.select("id", sort.alias("sort"), "core").mapInArrow(_keys, "id bigint, sort int, core string, block string").select("id", "sort", F.xxhash64("block").alias("block"))
     fits = (F.col("kind_a") == F.col("kind_b")) | F.col("kind_a").isNull() | F.col("kind_b").isNull()
     one = names.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("name", "kind", "core", "weak")])
     two = names.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("name", "kind", "core", "weak")])
