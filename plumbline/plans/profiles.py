@@ -14,15 +14,19 @@ from plumbline.plans.nested_sql import NODES
 from plumbline.plans.texts import _TOKENS, cv_terms
 
 
+_KEYED = NODES[:-1].replace("from raw_profiles", "from (select distinct profile_data as raw_id, profile_data from raw_profiles where json_valid(profile_data))")
+
+
 @query(
     "profile_summary",
-    """with p as (select distinct raw_id, profile_data from raw_profiles where json_valid(profile_data)),
-d as (select raw_id, list_filter([json_extract_string(profile_data, '$.summary'), json_extract_string(profile_data, '$.headline'), json_extract_string(profile_data, '$.experiences[0].description'),
-  json_extract_string(profile_data, '$.experiences[1].description'), json_extract_string(profile_data, '$.experiences[2].description')], lambda x: x is not null and x <> '') as parts from p)
-select raw_id, coalesce(array_to_string(parts, ' '), '') as profile_summary from d""",
+    _KEYED
+    + """, e as (select raw_id as record, list((j->>'description') order by place) as told from experience_rows where place < 3 and json_type((j->'description')) not in ('OBJECT', 'ARRAY', 'NULL') group by 1),
+p as (select distinct raw_id, profile_data from raw_profiles where json_valid(profile_data))
+select p.raw_id, array_to_string(list_filter(list_concat([json_extract_string(profile_data, '$.summary'), json_extract_string(profile_data, '$.headline')], coalesce(e.told, [])), lambda x: x is not null and x <> ''), ' ') as profile_summary
+from p left join e on p.profile_data = e.record""",
 )
 def profile_summary(spark, sf_dir):
-    """Summary, headline and the descriptions of the first three experiences, whatever layout they are stored in; the SQL reads one layout only."""
+    """Summary, headline and the descriptions of the first three experiences, whatever layout they are stored in."""
     p = table(spark, sf_dir, "raw_profiles").select("raw_id", "profile_data").distinct().filter(F.try_parse_json("profile_data").isNotNull())
     first = flatten_records(p.withColumn("key", F.struct("raw_id", F.xxhash64("profile_data").alias("record"))), "key", "profile_data")
     first = first.filter("kind = 'experience' and place < 3").select("key", F.struct("place", F.get_json_object("payload", "$.description").alias("d")).alias("e"))
